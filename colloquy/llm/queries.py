@@ -11,6 +11,7 @@ from .langid import op6_language_id
 from .lm import op1_brown_lm
 from .mixing import OP3_SQL, op3_mix_sources
 from .neardup import op8_near_duplicates
+from .neighbours import op7_nearest_neighbours
 from .pii import op2_pii
 from .quality import op9_quality_rules
 from .urlfilter import OP10_SQL, op10_url_filter
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_warc_archive": op5_warc_archive,
     "op6_language_id": op6_language_id,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filter": op10_url_filter,
