@@ -183,7 +183,8 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, *, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Pipeline stage: each whole round is a full copy of the document, the partial round a row with
-    the words of its selected blocks (each word with the white space behind it).  Columns stay.
+    the words of its selected blocks (each word with the white space behind it).  Columns stay, and
+    ``n_chars`` follows the text.
 
     Documents meet their place again by id, source and size; of rows alike in all three each
     takes the place of the same number, whichever that is: their places are interchangeable.
@@ -203,7 +204,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, *, block_wor
     pieces = F.regexp_extract_all(text, F.lit(f"({SPACE_CLASS}*{WORD}{SPACE_CLASS}*)"), F.lit(1))
     part = F.array_join(F.filter(pieces, lambda x, i: selected(p, i, block_words) == 1), "")
     texts = F.filter(F.concat(F.array_repeat(text, rounds), F.array(part)), lambda t: t != "")
-    columns = [F.col("__text").alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
+    columns = [new[c].alias(c) if c in new else F.col(c) for c in docs.columns]
     return joined.withColumn("__text", F.explode(texts)).select(*columns)
 
 

@@ -299,7 +299,7 @@ def sanitise(text: str, terms: Iterable[tuple[int, int, float]] = ()) -> str:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts are sanitised; no document goes, columns stay, null texts stay null."""
+    """Pipeline stage: texts are sanitised and ``n_chars`` follows; no document goes, columns stay, null texts stay null."""
     from pyspark.sql.types import LongType, StructField, StructType
 
     ids = docs.select("doc_id", "text")
@@ -320,7 +320,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 None if t is None else sanitise(t, [(x["start"], x["end"], x["disclosure"]) for x in s or ()])
                 for t, s in zip(b["text"].to_pylist(), b["terms"].to_pylist(), strict=True)
             ]
-            kept = [pa.array(texts, pa.string()) if c == "text" else b[c] for c in docs_columns]
+            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
+            kept = [new[c].cast(b[c].type) if c in new else b[c] for c in docs_columns]
             yield pa.RecordBatch.from_arrays(kept, docs_columns)
 
     docs_columns = docs.columns
