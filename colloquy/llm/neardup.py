@@ -14,8 +14,8 @@ No step lists all pairs of a group.
 2. Under each key, classes meet the least one there (the pivot).  A class is confirmed against the
    pivot that it meets most often, and components are formed.
 3. Pivots met otherwise are confirmed where they are in another component.
-4. What remains is exact: under keys with several components, the classes outside the largest
-   component there meet all others there; those pairs are confirmed, each once.
+4. What remains is exact: a component and the classes outside it that met it are compared in
+   blocks, by their differences from one member; a block streams past and only links are listed.
 The confirmations stream the members of a pivot past its set; a pivot with many members is dealt
 to many tasks.
 
@@ -47,8 +47,8 @@ WIDTH = 3
 TUPLES = 12
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Classes that a block of a bucket lists.
-BLOCK = 2048
+#: Guests that are compared at once, and classes that pass them in one task.
+GUESTS, PASSING = 1024, 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -170,46 +170,103 @@ def _across(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("c1", "node") != F.coalesce("c2", "pivot")).select("node", "pivot")
 
 
-def _remaining(buckets: DataFrame, known: DataFrame) -> DataFrame:
-    """All pairs of classes that share a key and lie in different components, each once.
+def _remaining_links(met: DataFrame, known: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """All links (a, b) between classes that share a key and lie in different components, one at least
+    for each class and component that are linked.
 
-    Under a key with several components, classes outside the largest one (``minor``) meet blocks
-    of all classes there; so a bucket that is one component but for a few strays costs as many
-    rows as it has strays and blocks.
+    Two classes share a key only if both met its pivot (or one is it), so a component and the
+    classes outside it that met a pivot of it (its guests) are compared as a group.  All are
+    written as differences from one member; for sets x and y with what they lack and add,
+        |x & y| = |p| - lack(x) - lack(y) + shared,   |x | y| = |p| + add(x) + add(y) - shared,
+    where ``shared`` counts the common differences, found in sorted arrays of the guests'.  Guests
+    come in blocks of bounded size and members stream past each block, so no pairs are listed.
     """
-    placed = buckets.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    several = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n")).where("c1 <> c2 AND n > 2").select("key")
-    mixed = materialize(placed.join(several, "key", "left_semi"), "mixed")
-    main = mixed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    minor = mixed.join(main, "key").where("component <> main").select("key", "node", "component")
-    place = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1) / BLOCK)
-    blocks = mixed.withColumn("block", place).groupBy("key", "block").agg(F.collect_list("node").alias("nodes"), F.collect_list("component").alias("components")).drop("block")
-
-    def others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = known.select("node", F.col("component").alias("c1"))
+    other = known.select(F.col("node").alias("pivot"), F.col("component").alias("group"))
+    both = met.join(own, "node", "left").join(other, "pivot", "left").select("node", "pivot", "times", F.coalesce("c1", "node").alias("component"), F.coalesce("group", "pivot").alias("group"))
+    across = materialize(both.where("component <> group"), "across")
+    guests = across.select("group", "node", "component").distinct()
+    chosen = across.groupBy("group", "pivot").agg(F.sum("times").alias("times")).groupBy("group").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("head"))
+    members = known.select(F.col("component").alias("group"), "node").unionAll(guests.select("group", F.col("group").alias("node"))).distinct()
+    n_guests, n_members = guests.groupBy("group").agg(F.count(F.lit(1)).alias("n_guests")), members.groupBy("group").agg(F.count(F.lit(1)).alias("n_members"))
+    groups = n_guests.join(n_members, "group").where("n_guests > 1 OR n_members > 1").join(chosen, "group")
+    groups = groups.select("group", "head", F.ceil(F.col("n_guests") / GUESTS).cast("int").alias("blocks"), F.ceil((F.col("n_guests") + F.col("n_members")) / PASSING).cast("int").alias("salts"))
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    order = ["group", "block", "salt", "kind", "node", "component"]
+    heads = groups.withColumn("block", every("blocks")).withColumn("salt", every("salts")).withColumn("node", F.col("head")).withColumn("component", F.col("group")).withColumn("kind", F.lit(0))
+    sitting = guests.join(groups, "group").withColumn("block", dealt("blocks")).withColumn("salt", every("salts")).withColumn("kind", F.lit(1))
+    passing = guests.unionByName(members.withColumn("component", F.col("group"))).join(groups, "group").withColumn("salt", dealt("salts")).withColumn("block", every("blocks")).withColumn("kind", F.lit(2))
+    places = heads.select(order).unionByName(sitting.select(order)).unionByName(passing.select(order))
+    rows = places.join(texts, "node").repartition(shuffle_partitions(met.sparkSession), "group", "block", "salt").sortWithinPartitions("group", "block", "salt", "kind")
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, head, block = None, np.array([], dtype=np.uint64), _Guests()
         for b in batches:
-            out = []
-            for node, c, nodes, cs in zip(b["node"].to_pylist(), b["component"].to_pylist(), b["nodes"], b["components"], strict=True):
-                out.append(nodes.values.to_numpy()[cs.values.to_numpy() != c].tobytes())
-            yield pa.RecordBatch.from_pydict({"node": b["node"], "others": pa.array(out, pa.binary())})
-
-    def once(rows: Iterator[dict]) -> Iterator[dict]:
-        at, met, held = None, [], 0
-        for row in rows:
-            if row["node"] != at and met:
-                yield {"node": at, "others": [np.unique(np.concatenate(met)).tolist()]}
-                met, held = [], 0
-            at = row["node"]
-            met.append(packs.array(row["others"], np.int64))
-            held += len(met[-1])
-            if held > packs.MERGE_ENTRIES:
-                met = [np.unique(np.concatenate(met))]
-                held = 0
-        if met:
-            yield {"node": at, "others": [np.unique(np.concatenate(met)).tolist()]}
-
-    packed = minor.join(blocks, "key").select("node", "component", "nodes", "components").mapInArrow(others, "node long, others binary")
-    lists = packs.in_groups(packed, shuffle_partitions(buckets.sparkSession), "node", None, once, "node long, others array<long>")
-    return lists.select(F.explode("others").alias("node"), F.col("node").alias("pivot"))
+            found: list[tuple[int, int]] = []
+            for group, part, salt, kind, node, component, text in zip(*(b[c].to_pylist() for c in (*order, "text")), strict=True):
+                if (group, part, salt) != at:
+                    at, block = (group, part, salt), _Guests()
+                s = shingles(text, words)
+                if kind == 0:
+                    head = s
+                elif kind == 1:
+                    block.add(node, component, head, s)
+                else:
+                    found += block.links(node, component, head, s)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return rows.select(*order, "text").mapInArrow(compare, "a long, b long")
+
+
+class _Guests:
+    """Differences of a block of classes from one head, and the links that passing classes have with them."""
+
+    def __init__(self) -> None:
+        self.nodes: list[int] = []
+        self.seen: set[int] = set()
+        self.components: list[int] = []
+        self.sizes: list[tuple[int, int]] = []
+        self.parts: list[np.ndarray] = []
+        self.index: tuple | None = None
+        self.told: set[tuple[int, int]] = set()
+
+    def add(self, node: int, component: int, head: np.ndarray, s: np.ndarray) -> None:
+        if node not in self.seen:  # equal rows bring the text of a class repeatedly
+            self.seen.add(node)
+            lack, more = _differences(head, s)
+            self.nodes.append(node)
+            self.components.append(component)
+            self.sizes.append((len(lack), len(more)))
+            self.parts.append(np.concatenate([lack, more]))
+
+    def links(self, node: int, component: int, head: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
+        if self.index is None:
+            every = np.concatenate([*self.parts, np.array([], dtype=np.uint64)])
+            order = np.argsort(every, kind="stable")
+            owner = np.repeat(np.arange(len(self.parts)), [len(x) for x in self.parts])
+            self.index = every[order], owner[order], np.array(self.sizes, dtype=np.int64).reshape(-1, 2), np.array(self.components, dtype=np.int64)
+        every, owner, sizes, components_ = self.index
+        lack, more = _differences(head, s)
+        mine = np.concatenate([lack, more])
+        first, last = np.searchsorted(every, mine, "left"), np.searchsorted(every, mine, "right")
+        hit = np.repeat(first, last - first) + _counting(last - first)
+        shared = np.bincount(owner[hit], minlength=len(sizes))
+        both = len(head) - len(lack) - sizes[:, 0] + shared
+        union = len(head) + len(more) + sizes[:, 1] - shared
+        good = np.flatnonzero((100 * both >= PERCENT * union) & (components_ != component))
+        out = [(self.nodes[k], node) for k in good if (k, component) not in self.told]
+        self.told.update((k, component) for k in good)
+        return out
+
+
+def _differences(head: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.setdiff1d(head, s, assume_unique=True), np.setdiff1d(s, head, assume_unique=True)
+
+
+def _counting(n: np.ndarray) -> np.ndarray:
+    """0 .. n[0] - 1, 0 .. n[1] - 1, and so on."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _classes(sets: DataFrame) -> DataFrame:
@@ -241,19 +298,16 @@ def link_documents(docs: DataFrame, *, words: int, percent: int = PERCENT) -> Da
     classes = materialize(_classes(sets), "classes")
     in_key = Window.partitionBy("key").orderBy("node")
     ranked = _keys(classes).select("key", "node", F.first("node").over(in_key).alias("pivot"), F.row_number().over(in_key).alias("rank"), F.lead("node").over(in_key).alias("next"))
-    buckets = materialize(ranked.where("rank > 1 OR next IS NOT NULL").select("key", "node", "pivot"), "buckets")
-    met = materialize(buckets.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("times")), "met")
+    shared = ranked.where("rank > 1 OR next IS NOT NULL")
+    met = materialize(shared.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("times")), "met")
     candidates = met.select("node").unionAll(met.select(F.col("pivot").alias("node"))).distinct()
     texts = materialize(_texts(docs, classes.join(candidates, "node", "left_semi")), "texts")
     best = met.groupBy("node").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("pivot"))
-    edges = materialize(_confirmed(best, texts, words, salts), "links")
-    known = materialize(components(edges), "components")
-    for step in (lambda k: _across(met.select("node", "pivot"), k), lambda k: _remaining(buckets, k)):
-        more = materialize(_confirmed(step(known), texts, words, salts), "links")
-        edges = edges.unionAll(more)
-        known = materialize(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
+    known = materialize(components(_confirmed(best, texts, words, salts)), "components")
+    for step in (lambda k: _confirmed(_across(met.select("node", "pivot"), k), texts, words, salts), lambda k: _remaining_links(met, k, texts, words)):
+        known = materialize(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(step(known))), "components")
     discard(texts)
-    discard(buckets)
+    discard(met)
     named = classes.join(known, "node", "left").select("digest", "least_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     ids = named.join(least, "component").select("digest", "component_id")
