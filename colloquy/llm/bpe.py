@@ -21,8 +21,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Pieces and pairs that a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 200_000
+#: Pieces and pairs that a worker remembers at most; beyond that the older half goes.
+REMEMBERED = 700_000
 #: Longer pieces are encoded but not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -33,15 +33,36 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+class Memory(dict):
+    """A dict of bounded size: when it is full, the older half goes."""
+
+    def __setitem__(self, key, value) -> None:  # noqa: ANN001
+        if len(self) >= REMEMBERED:
+            for old in list(self)[: REMEMBERED // 2]:
+                del self[old]
+        super().__setitem__(key, value)
+
+
 class PrefixEncoder:
-    """Encoder of single pieces, with exact appends and edits."""
+    """Encoder of single pieces, with exact appends and edits.
+
+    The tokens that end at each byte come from an Aho-Corasick automaton of the vocabulary.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
+        import ahocorasick
+
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
+        self.size_of = {r: len(t) for t, r in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
-        self._whole: dict[bytes, bool] = {}
+        self.width = max(self.bytes_of, default=0) + 1
+        self._ends = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self._ends.add_word(token.decode("latin-1"), rank)
+        self._ends.make_automaton()
+        self._pairs: dict[int, bool] = Memory()
+        self._whole: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """Plain merging by lowest rank; used on one or two tokens only."""
@@ -55,35 +76,36 @@ class PrefixEncoder:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _reachable(self, token: bytes) -> bool:
+    def _reachable(self, token: int) -> bool:
         known = self._whole.get(token)
         if known is None:
-            if len(self._whole) >= REMEMBERED:
-                self._whole.clear()
-            known = self._whole[token] = self.merged(token) == [token]
+            known = self._whole[token] = self.merged(self.bytes_of[token]) == [self.bytes_of[token]]
         return known
 
-    def _pair(self, left: bytes, right: bytes) -> bool:
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) >= REMEMBERED:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self.merged(left + right) == [left, right]
-        return known
+    def _pair(self, left: int, right: int) -> bool:
+        a, b = self.bytes_of[left], self.bytes_of[right]
+        return self.merged(a + b) == [a, b]
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
-        """``last[i]`` is the length of the last token of ``data[:i + 1]``; add what is missing."""
-        for end in range(len(last) + 1, len(data) + 1):
-            for size in range(min(self.longest, end), 0, -1):
-                token = data[end - size : end]
-                if token not in self.ranks or not self._reachable(token):
-                    continue
-                start = end - size
-                if start == 0 or self._pair(data[start - last[start - 1] : start], token):
-                    last.append(size)
-                    break
+        """``last[i]`` is the last token of ``data[:i + 1]``; add what is missing."""
+        size_of, pairs, width = self.size_of, self._pairs, self.width
+        done = len(last)
+        for end, token in self._ends.iter(data.decode("latin-1"), max(0, done + 1 - self.longest)):
+            if end < done:
+                continue  # this prefix has its token
+            start = end + 1 - size_of[token]
+            if start:
+                key = last[start - 1] * width + token
+                good = pairs.get(key)
+                if good is None:
+                    good = pairs[key] = self._pair(last[start - 1], token)
             else:
-                raise ValueError(f"no token ends at byte {end}")
+                good = self._reachable(token)
+            if good:
+                last.append(token)
+                done += 1
+        if done < len(data):
+            raise ValueError(f"no token ends at byte {done + 1}")
         return last
 
     def append(self, data: bytes, last: list[int], more: bytes) -> tuple[bytes, list[int]]:
@@ -92,25 +114,23 @@ class PrefixEncoder:
 
     def edit(self, data: bytes, last: list[int], start: int, stop: int, new: bytes) -> tuple[bytes, list[int]]:
         """Replace ``data[start:stop]``: prefixes before ``start`` stay; behind the edit, work ends
-        once as many stored lengths in a row agree as the longest token has bytes."""
+        once the last tokens of as many prefixes in a row agree as two of the longest token have bytes."""
         edited, shift = data[:start] + new + data[stop:], start + len(new) - stop
         out, agree = list(last[:start]), 0
         while len(out) < len(edited):
             self.extend(edited[: len(out) + 1], out)
             at = len(out) - 1
-            old = at - shift
-            agree = agree + 1 if at >= start + len(new) and last[old] == out[-1] else 0
+            agree = agree + 1 if at >= start + len(new) and last[at - shift] == out[-1] else 0
             if agree > 2 * self.longest:
-                out += last[old + 1 :]
+                out += last[at - shift + 1 :]
         return edited, out
 
     def tokens(self, data: bytes, last: list[int]) -> list[int]:
         """The ids, walking back from the last prefix."""
         out, end = [], len(data)
         while end:
-            size = last[end - 1]
-            out.append(self.ranks[data[end - size : end]])
-            end -= size
+            out.append(last[end - 1])
+            end -= self.size_of[last[end - 1]]
         return out[::-1]
 
     def encode(self, data: bytes) -> list[int]:
@@ -129,7 +149,7 @@ class TextEncoder:
 
         self.pieces = PrefixEncoder(ranks)
         self._find = regex.compile(pattern).findall
-        self._known: dict[str, list[int]] = {}
+        self._known: dict[str, list[int]] = Memory()
 
     def encode(self, text: str) -> list[int]:
         known, ids = self._known, []
@@ -138,8 +158,6 @@ class TextEncoder:
             if got is None:
                 got = self.pieces.encode(piece.encode())
                 if len(piece) <= LONGEST_REMEMBERED:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
                     known[piece] = got
             ids += got
         return ids
@@ -148,36 +166,32 @@ class TextEncoder:
         return self.pieces.decode(ids)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False) -> DataFrame:
-    """``keep`` columns with ``ids`` (array of int) and ``decoded`` (binary); with ``digests`` their
-    counts and SHA-256 instead, computed where the ids are, so that they need not be moved."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False, ids: bool = True) -> DataFrame:
+    """``keep`` columns with ``ids`` (array of int) and, with ``digests``, the count of the ids and the
+    SHA-256 of the ids and of the decoded bytes, computed where the ids are."""
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))  # one vocabulary file, of fixed size
 
     def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = TextEncoder(*shared.value)
         for b in source:
-            columns = [b[c] for c in keep]
             for at in range(0, b.num_rows, 256):
-                part = b["__text"].slice(at, 256).to_pylist()
-                first, second, third = [], [], []
-                for t in part:
-                    ids = coder.encode(t or "")
-                    decoded = coder.decode(ids)
+                coded, counts, of_ids, of_bytes = [], [], [], []
+                for t in b["__text"].slice(at, 256).to_pylist():
+                    found = coder.encode(t or "")
+                    if ids:
+                        coded.append(found)
                     if digests:
-                        first.append(len(ids))
-                        second.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                        third.append(hashlib.sha256(decoded).hexdigest())
-                    else:
-                        first.append(ids)
-                        second.append(decoded)
-                kept = [c.slice(at, 256) for c in columns]
-                made = [pa.array(first, pa.int64()), pa.array(second, pa.string()), pa.array(third, pa.string())] if digests else [pa.array(first, pa.list_(pa.int32())), pa.array(second, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*kept, *made], names)
+                        counts.append(len(found))
+                        of_ids.append(hashlib.sha256(" ".join(map(str, found)).encode()).hexdigest())
+                        of_bytes.append(hashlib.sha256(coder.decode(found)).hexdigest())
+                made = [pa.array(coded, pa.list_(pa.int32()))] if ids else []
+                made += [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())] if digests else []
+                yield pa.RecordBatch.from_arrays([*(b[c].slice(at, 256) for c in keep), *made], names)
 
     rows = docs.select(*keep, docs[text].alias("__text"))
-    made = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
-    names = [*keep, *(x.split()[0] for x in made.split(", "))]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep), made])
+    made = [*(["ids array<int>"] if ids else []), *(["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else [])]
+    names = [*keep, *(x.split()[0] for x in made)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep), *made])
     return rows.mapInArrow(batches, schema)
 
 
@@ -202,9 +216,9 @@ def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[dict[bytes,
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode(docs, *public_vocabulary(), digests=True)
+    return encode(docs, *public_vocabulary(), digests=True, ids=False)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: each remaining document's ids and their count and digests."""
+    """Last pipeline stage: each remaining document's ids, their count, and the digests of ids and decoded bytes."""
     return encode(docs, *public_vocabulary(), digests=True)
