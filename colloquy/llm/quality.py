@@ -228,4 +228,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pipeline stage: documents that the learned list rejects go; columns stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = free_name(docs.columns, "quality_verdict")
-    return apply_rules(docs, learned_rules(docs, labels), out=out).where(F.col(out)["kept"]).drop(out)
+    judged = apply_rules(docs, learned_rules(docs, labels), out=out)
+    # The optimizer would push the condition below the statistics and compute them once for each
+    # mention; it does not move conditions below a column that is not deterministic in name.
+    fixed = judged.withColumn(out, F.when(F.monotonically_increasing_id() >= 0, F.col(out)))
+    return fixed.where(F.col(out)["kept"]).drop(out)
