@@ -76,12 +76,13 @@ def plain_apostrophes(text: Column) -> Column:
 def join_acronyms(text: Column) -> Column:
     """Spelled letters with underscores become one word: ``L_C_D_`` is ``LCD``.
 
-    Within a match, an underscore goes if a single capital stands before it and one behind it,
-    or at the end of the spelling; the word-boundary rules make three regular expressions enough.
+    A spelling is a whole word of single capitals with underscores between, perhaps an ``s`` and an
+    underscore at its end (up to 200 letters).  Look-behind finds its underscores one by one, the
+    last one first, so no function has to rebuild the match.
     """
-    inner = F.regexp_replace(text, r"(?U)(?<=\b[A-Z]|_[A-Z])_(?=[A-Z](?:_[A-Z])*s?_?\b)", "")
-    inner = F.regexp_replace(inner, r"(?U)\b([A-Z]{2,}s?)_\b", "$1")
-    inner = F.regexp_replace(inner, r"(?U)\b([A-Z]{2,}s?)_(?!\w)", "$1")
+    spelled = r"\b[A-Z](?:_[A-Z])"
+    inner = F.regexp_replace(text, rf"(?U)(?<={spelled}{{1,200}}s?)_(?!\w)", "")
+    inner = F.regexp_replace(inner, rf"(?U)(?<={spelled}{{0,200}})_(?=[A-Z](?:_[A-Z])*s?(?!\w))", "")
     inner = F.regexp_replace(inner, r"(?U)\b([A-Z])_(?=[A-Za-z])", "$1")
     return F.regexp_replace(inner, r"(?U)\b([A-Z])_(?=\W|$)", "$1")
 

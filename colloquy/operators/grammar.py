@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as c
-from ..functions.math import repeated_next
+from ..functions.math import let, repeated_next
 
 
 @dataclass(frozen=True)
@@ -133,18 +133,22 @@ def _without(ranges: Column, blocked: Column) -> Column:
 
 def masked(scores: Column, ranges: Column) -> Column:
     """A dense row of logits with everything outside the ranges at minus infinity."""
-    return F.transform(scores, lambda x, i: F.when(F.exists(ranges, lambda r: i.between(r["lo"], r["hi"])), x.cast("double")).otherwise(F.lit(float("-inf"))))
+    inside = lambda rs, i: F.exists(rs, lambda r: i.between(r["lo"], r["hi"]))
+    return let(ranges, lambda rs: F.transform(scores, lambda x, i: F.when(inside(rs, i), x.cast("double")).otherwise(F.lit(float("-inf")))))
 
 
 def must_close(scores: Column, ranges: Column) -> Column:
     """True if, among allowed ids, all times together outweigh the best single other one."""
-    inside = lambda i: F.exists(ranges, lambda r: i.between(r["lo"], r["hi"]))
-    kept = F.filter(F.transform(scores, lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x"), inside(i).alias("ok"))), lambda e: e["ok"])
+    inside = lambda rs, i: F.exists(rs, lambda r: i.between(r["lo"], r["hi"]))
     is_ts = lambda e: e["i"].between(c.TS_FIRST, c.TS_LAST)
-    top = F.array_max(F.transform(kept, lambda e: e["x"]))
-    mass = F.aggregate(F.filter(kept, is_ts), F.lit(0.0), lambda s, e: s + F.exp(e["x"] - top))
-    best = F.array_max(F.transform(F.filter(kept, lambda e: ~is_ts(e)), lambda e: e["x"]))
-    return mass > F.exp(best - top)
+    marked = let(ranges, lambda rs: F.transform(scores, lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x"), inside(rs, i).alias("ok"))))
+
+    def outweighs(kept: Column) -> Column:
+        top = F.array_max(F.transform(kept, lambda e: e["x"]))
+        best = F.array_max(F.transform(F.filter(kept, lambda e: ~is_ts(e)), lambda e: e["x"]))
+        return let(top, lambda t: F.aggregate(F.filter(kept, is_ts), F.lit(0.0), lambda s, e: s + F.exp(e["x"] - t)) > F.exp(best - t))
+
+    return let(F.filter(marked, lambda e: e["ok"]), outweighs)
 
 
 def mask_rows(rows: DataFrame, g: Grammar = Grammar()) -> DataFrame:

@@ -41,14 +41,14 @@ def assign(cost: np.ndarray) -> np.ndarray:
                         after[key] = total
         levels.append(after)
     levels.reverse()  # levels[r]: cost of rows r.. using exactly a set of columns
-    total = min(levels[0].values())
-    out, left = np.empty(rows, dtype=int), None
-    for r in range(rows):
+    least = min(levels[0].values())
+    left = {s for s, v in levels[0].items() if v <= least + 1e-9}
+    out = np.empty(rows, dtype=int)
+    for r in range(rows):  # the least column that some cheapest completion uses
         for c in range(columns):
-            fits = [s for s, v in levels[r].items() if c in s and (left is None and abs(v - total) < 1e-9 or s == left)]
-            pick = next((s - {c} for s in fits if abs(levels[r + 1].get(s - {c}, np.inf) + cost[r, c] - levels[r][s]) < 1e-9), None)
-            if pick is not None:
-                out[r], left = c, pick
+            after = {s - {c} for s in left if c in s and abs(levels[r + 1].get(s - {c}, np.inf) + cost[r, c] - levels[r][s]) < 1e-9}
+            if after:
+                out[r], left = c, after
                 break
     return out
 

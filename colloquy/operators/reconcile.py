@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LEAST_ANCHORS, LEAST_SCORE, LONGEST_PASSAGE_SECONDS, TOLERANCE_SECONDS
+from ..functions.math import let
 from ..functions.text import word_key
 
 TIMED = "ctc_forced"
@@ -31,11 +32,6 @@ def _indexed(words: Column) -> Column:
     return F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w")))
 
 
-def _let(value: Column, body) -> Column:  # noqa: ANN001
-    """``body(value)``, with ``value`` found once however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _keyed(words: Column) -> Column:
     """Words with their letters beside them, found once for each."""
     return F.transform(words, lambda w: w.withField("key", word_key(w["text"])))
@@ -117,7 +113,7 @@ def reconcile(cases: DataFrame, *, least_score: float = LEAST_SCORE, anchors: in
 
     def judged(w: Column) -> Column:
         over = F.filter(a, lambda o: _meets(w, o))
-        return _let(over, lambda o: _let(F.filter(o, lambda x: _same(w, x)), lambda match: verdict(w, o, match)))
+        return let(over, lambda o: let(F.filter(o, lambda x: _same(w, x)), lambda match: verdict(w, o, match)))
 
     def verdict(w: Column, over: Column, match: Column) -> Column:
         twice = (F.size(match) > 1) | F.exists(match, lambda o: F.size(F.filter(b, lambda x: _meets(x, o) & _same(x, o))) > 1)
@@ -177,7 +173,7 @@ def propose_passage(cases: DataFrame, *, least_score: float = LEAST_SCORE) -> Da
     def anchor(y: Column) -> Column:
         w = y["w"]
         match = F.filter(a, lambda x: _same(x, w) & _meets(w, x))
-        return _let(match, lambda found: _let(F.get(found, F.lit(0)), lambda mine: judged(y, found, mine)))
+        return let(match, lambda found: let(F.get(found, F.lit(0)), lambda mine: judged(y, found, mine)))
 
     def judged(y: Column, match: Column, mine: Column) -> Column:
         w, j = y["w"], y["i"]

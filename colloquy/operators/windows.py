@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as c
+from ..functions.math import let
 
 FRAME_SAMPLES = int(c.FRAME_SECONDS * c.SAMPLE_RATE)
 
@@ -43,18 +44,28 @@ def cuts_of(rms: Column, floor: Column, duration: Column, window: float, first_w
     most = F.ceil(duration / F.lit(min(c.SHORTEST_WINDOW_SECONDS, window, first_window or window))).cast("int") + 1
     search = int(c.CUT_SEARCH_SECONDS / c.FRAME_SECONDS)
 
+    frame = lambda x: F.floor(x / F.lit(c.FRAME_SECONDS)).cast("int")
+
+    def cut_at(pos: Column, ideal: Column) -> Column:
+        """The quiet place before ``ideal``, or ``ideal``."""
+        first = F.greatest(frame(pos) + 1, frame(ideal) - search)
+
+        def quietest(v: Column) -> Column:
+            part, low = v["part"], F.array_min(v["part"])
+            at = (v["first"] + F.array_position(part, low).cast("int") - 1) * F.lit(c.FRAME_SECONDS)
+            return F.when((low <= floor) & (at - pos >= c.SHORTEST_WINDOW_SECONDS), at).otherwise(ideal)
+
+        last = F.least(frame(ideal), F.size(rms))
+        found = let(first, lambda f: F.struct(f.alias("first"), F.slice(rms, f + 1, F.greatest(last - f, F.lit(0))).alias("part")))
+        return F.when(ideal >= duration, ideal).otherwise(let(found, quietest))
+
     def step(s: Column, _: Column) -> Column:
-        pos = s["pos"]
-        ideal = F.least(pos + w(F.size(s["out"])), duration)
-        last = F.least(F.floor(ideal / F.lit(c.FRAME_SECONDS)).cast("int"), F.size(rms))
-        first = F.greatest(F.floor(pos / F.lit(c.FRAME_SECONDS)).cast("int") + 1, F.floor(ideal / F.lit(c.FRAME_SECONDS)).cast("int") - search)
-        part = F.slice(rms, first + 1, F.greatest(last - first, F.lit(0)))
-        low = F.array_min(part)
-        quiet = (first + F.array_position(part, low).cast("int") - 1) * F.lit(c.FRAME_SECONDS)
-        cut = F.when((low <= floor) & (quiet - pos >= c.SHORTEST_WINDOW_SECONDS), quiet).otherwise(ideal)
-        end = F.when(ideal >= duration, ideal).otherwise(cut)
-        more = F.concat(s["out"], F.array(F.struct(pos.alias("start_s"), end.alias("end_s"))))
-        return F.when(pos >= duration, s).otherwise(F.struct(F.when(ideal >= duration, duration).otherwise(end).alias("pos"), more.alias("out")))
+        def add(end: Column) -> Column:
+            more = F.concat(s["out"], F.array(F.struct(s["pos"].alias("start_s"), end.alias("end_s"))))
+            return F.struct(end.alias("pos"), more.alias("out"))
+
+        ideal = F.least(s["pos"] + w(F.size(s["out"])), duration)
+        return F.when(s["pos"] >= duration, s).otherwise(let(let(ideal, lambda i: cut_at(s["pos"], i)), add))
 
     return F.aggregate(F.sequence(F.lit(1), most), zero, step, lambda s: s["out"])
 
@@ -70,8 +81,8 @@ def cut_windows(rms: DataFrame, durations: DataFrame, *, window: float = c.WINDO
 def window_samples(frames: DataFrame, windows: DataFrame, *, pad_to: float | None = c.WINDOW_SECONDS) -> DataFrame:
     """Samples of each window, cut exactly and padded with silence at the end; at most one window's
     samples are a row."""
-    span = F.explode(F.sequence(F.floor(F.col("start_s") / c.FRAME_SECONDS), F.ceil(F.col("end_s") / c.FRAME_SECONDS)))
-    wanted = windows.withColumn("frame_idx", span.cast("int"))
+    span = F.sequence(F.floor(F.col("start_s") / c.FRAME_SECONDS).cast("int"), F.ceil(F.col("end_s") / c.FRAME_SECONDS).cast("int"))
+    wanted = windows.withColumn("frame_idx", F.explode(span))
     met = wanted.join(frames.select("meeting_id", "frame_idx", "samples"), ["meeting_id", "frame_idx"])
     whole = met.groupBy("meeting_id", "pass", "ci", "start_s", "end_s").agg(F.min("frame_idx").alias("f"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "samples"))), lambda x: x["samples"])).alias("s"))
     first, last = F.floor(F.col("start_s") * c.SAMPLE_RATE).cast("int"), F.floor(F.col("end_s") * c.SAMPLE_RATE).cast("int")
