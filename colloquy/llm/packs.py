@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 #: Tokens in a chunk, and entries of a range that are held before they are merged.
 CHUNK_TOKENS = 2_000_000
 MERGE_ENTRIES = 6_000_000
+#: Rows that leave a task together.
+ROWS_HELD, BYTES_HELD = 1024, 4 << 20
 #: Text bytes for each hash range; the number of ranges stays within these limits.
 BYTES_PER_RANGE = 16 << 20
 FEWEST_RANGES, MOST_RANGES = 16, 16_384
@@ -96,8 +98,20 @@ def in_groups(df: DataFrame, n: int, key: str, kind: str | None, body: Callable[
 
         arrow = to_arrow_schema(target)
         rows = (dict(zip(b.schema.names, x, strict=True)) for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        names = [f.name for f in arrow]
+        held: list[dict] = []
+        size = 0
         for out in body(rows):
-            yield pa.RecordBatch.from_pydict({f.name: out[f.name] if isinstance(out[f.name], list | pa.Array) else [out[f.name]] for f in arrow}, schema=arrow)
+            if any(isinstance(out[n], list | pa.Array) for n in names):  # a batch of its own
+                yield pa.RecordBatch.from_pydict({n: out[n] if isinstance(out[n], list | pa.Array) else [out[n]] for n in names}, schema=arrow)
+                continue
+            held.append(out)
+            size += sum(len(x) for x in out.values() if isinstance(x, bytes))
+            if len(held) >= ROWS_HELD or size >= BYTES_HELD:
+                yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
     order = [key] if kind is None else [key, kind]
     return df.repartition(n, key).sortWithinPartitions(*order).mapInArrow(run, target)
