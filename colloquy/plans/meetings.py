@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import config as c
 from ..operators import intervals, linking, parsing, scoring, turns, windows
 from ..sources.audio import durations
+from .storage import stored
 
 
 @dataclass(frozen=True)
@@ -55,10 +56,11 @@ def link_passes(local: DataFrame, grid: DataFrame, nodes: DataFrame, options: c.
     return linking.link(nodes, pairs, thresholds, counts, options)
 
 
-def transcribe(frames: DataFrame, models: Models, options: c.LinkOptions = c.LinkOptions(), *, languages: DataFrame | None = None, merge_context: bool = False, smooth: bool = False, checkpoint: Callable[[DataFrame], DataFrame] = lambda df: df) -> Transcripts:
+def transcribe(frames: DataFrame, models: Models, options: c.LinkOptions = c.LinkOptions(), *, languages: DataFrame | None = None, merge_context: bool = False, smooth: bool = False, checkpoint: Callable[[DataFrame], DataFrame] = stored) -> Transcripts:
     """Recordings as frames to speaker-attributed segments.
 
-    ``checkpoint`` may store model output (decoded texts, voice vectors), so that it is made once.
+    ``checkpoint`` stores what later steps share (loudness, windows, decoded texts, voice vectors),
+    so that it is made once and plans stay short.
     Only recordings with enough windows are decoded a second time.
     """
     if options.most_speakers is not None and int(options.most_speakers) < 1:
@@ -66,7 +68,7 @@ def transcribe(frames: DataFrame, models: Models, options: c.LinkOptions = c.Lin
     lengths = durations(frames)
     padded = windows.pad_onset(frames)
     padded_lengths = durations(padded)
-    rms = windows.loudness(padded)
+    rms = checkpoint(windows.loudness(padded))
     grid_a = windows.cut_windows(rms, padded_lengths)
     enough = grid_a.groupBy("meeting_id").count().where(F.col("count") >= c.SECOND_PASS_LEAST_WINDOWS).select("meeting_id")
     grid = grid_a

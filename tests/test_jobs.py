@@ -84,7 +84,7 @@ def transcripts(spark, tmp_path_factory):
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    found = meetings.transcribe(audio.audio_frames(rows), models, c.LinkOptions(samples=2), checkpoint=keep)
+    found = meetings.transcribe(keep(audio.audio_frames(rows)), models, c.LinkOptions(samples=2), checkpoint=keep)
     return found
 
 
