@@ -163,9 +163,8 @@ def _pairs(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) ->
         alpha[t] = x
     y = np.ones((len(lengths), k))
     for t in range(width - 1, -1, -1):
-        y = np.where(inside[:, t, None], y, 1.0)
         beta[t] = y
-        y = _unit((y * e[at[:, t]]) @ a.T)
+        y = np.where(inside[:, t, None], _unit((y * e[at[:, t]]) @ a.T), 1.0)
     expected = np.zeros((k, k))
     for t in range(width):
         before = alpha[t - 1] if t else np.ones((len(lengths), k))

@@ -125,7 +125,7 @@ def _gains(big: np.ndarray, r: np.ndarray, lf: np.ndarray, own: float, total: fl
     d = np.arange(classes)
     same = big[d, d]
     out += _f(same + r[d] + lf[d] + own) - _f(same + r[d]) - _f(same + lf[d]) + _f(same)
-    before, behind = rows.sum(1), columns.sum(1)
+    before, behind = rows.sum(1) + lf[:classes], columns.sum(1) + r[:classes]  # what meets the word stays in the margins
     return out - (_f(before + total) - _f(before)) - (_f(behind + arrives) - _f(behind))
 
 

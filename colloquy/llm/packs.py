@@ -64,8 +64,10 @@ def chunks(batches: Iterable[pa.RecordBatch], end: int | None, limit: int = CHUN
 
 def by_range(sorted_hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """The ranges that sorted hashes touch, with the slice of each."""
+    if not len(sorted_hashes):
+        return
     part = (sorted_hashes >> np.uint64(64 - bits)).astype(np.int64)
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.array([], dtype=np.int64)
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     for a, b in zip(starts, np.r_[starts[1:], len(part)], strict=True):
         yield int(part[a]), slice(int(a), int(b))
 

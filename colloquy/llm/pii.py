@@ -305,7 +305,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = docs.select("doc_id", "text")
     found = materialize(find(ids), "pii")
     spans, _ = _same_document(materialize(term_spans(found, disclosing_terms(ids, found)), "terms"))
-    own = free_name(docs.columns, "__text_hash")
+    own, own_terms = free_name(docs.columns, "__text_hash"), free_name(docs.columns, "terms")
+    spans = spans.withColumnRenamed("terms", own_terms)
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -318,11 +319,11 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for b in batches:
             texts = [
                 None if t is None else sanitise(t, [(x["start"], x["end"], x["disclosure"]) for x in s or ()])
-                for t, s in zip(b["text"].to_pylist(), b["terms"].to_pylist(), strict=True)
+                for t, s in zip(b["text"].to_pylist(), b[own_terms].to_pylist(), strict=True)
             ]
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
             kept = [new[c].cast(b[c].type) if c in new else b[c] for c in docs_columns]
             yield pa.RecordBatch.from_arrays(kept, docs_columns)
 
     docs_columns = docs.columns
-    return known.select(*docs_columns, "terms").mapInArrow(clean, docs.schema)
+    return known.select(*docs_columns, own_terms).mapInArrow(clean, docs.schema)
