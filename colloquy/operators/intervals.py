@@ -69,7 +69,7 @@ def clean_windows(segments: DataFrame, *, least: float = LEAST_EMBED_SECONDS) ->
     gaps = edge.withColumn("from", upto).withColumn("to", F.col("other_start")).where("to > from").select(*node, "seg_ord", F.col("from").alias("start"), F.col("to").alias("end"), F.lit(True).alias("is_clean"))
     raw = own.withColumn("is_clean", F.lit(False))
     both = gaps.unionByName(raw).where(F.col("end") - F.col("start") >= least)
-    rank = Window.partitionBy(*node).orderBy(F.desc("is_clean"), F.desc(F.col("end") - F.col("start")), "seg_ord", "start")
+    rank = Window.partitionBy(*node).orderBy(F.desc("is_clean"), F.desc(F.round(F.col("end") - F.col("start"), 6)), "seg_ord", "start")
     best = both.withColumn("r", F.row_number().over(rank)).where("r = 1").select(*node, "start", "end", "is_clean")
     return own.select(*node).distinct().join(best, node, "left").withColumn("is_clean", F.coalesce("is_clean", F.lit(False)))
 
