@@ -10,7 +10,7 @@ from .bpe import op4_byte_bpe
 from .langid import op6_language_id
 from .lm import op1_brown_lm
 from .mixing import OP3_SQL, op3_mix_sources
-from .neardup import op8_near_duplicates
+from .neardup import OP8_SQL, op8_near_duplicates
 from .neighbours import op7_nearest_neighbours
 from .pii import op2_pii
 from .quality import op9_quality_rules
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op5_warc_archive": OP5_SQL, "op10_url_filter": OP10_SQL}
+ORACLE: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op5_warc_archive": OP5_SQL, "op8_near_duplicates": OP8_SQL, "op10_url_filter": OP10_SQL}
