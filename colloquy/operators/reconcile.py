@@ -66,8 +66,8 @@ def refine_timings(cases: DataFrame, *, least_score: float = LEAST_SCORE, anchor
     if any new overlap or change of order between words of A would result.
     """
     a, b = F.col("a"), F.col("b")
-    close = lambda x, y: _same(x, y) & _strong(y, least_score) & (F.abs((x["start"] + x["end"] - y["start"] - y["end"]) / 2) <= TOLERANCE_SECONDS)
-    single = F.transform(a, lambda x: F.filter(F.transform(_indexed(b), lambda y: F.when(close(x, y["w"]), y["i"])), lambda i: i.isNotNull()))
+    close = lambda x, y: (F.abs((x["start"] + x["end"] - y["start"] - y["end"]) / 2) <= TOLERANCE_SECONDS) & _same(x, y) & _strong(y, least_score)
+    single = F.transform(a, lambda x: F.filter(F.transform(b, lambda y, j: F.when(close(x, y), j)), lambda i: i.isNotNull()))
     staged = cases.withColumn("__one", F.transform(single, lambda m: F.when(F.size(m) == 1, F.get(m, F.lit(0)))))
     one = F.col("__one")
     staged = staged.withColumn("__pair", F.transform(one, lambda j: F.when(F.size(F.filter(one, lambda k: k == j)) == 1, j)))
