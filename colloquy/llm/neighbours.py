@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by largest inner product: NN-descent and greedy graph search.
 
 Equal vectors are one node.  The graph starts from the best of random blocks and gets better by
-rounds of joins: each node sends its vector to the neighbours it lists; all nodes that meet at a
+rounds of joins until few list entries change: each node sends its vector to the neighbours it lists; all nodes that meet at a
 node are neighbours of a neighbour, are compared there, and send what they found to one another.
 For searching, a node's edges lead to the nodes that list it, so every node can be reached from
 each of its own neighbours.
 
 A query keeps a pool of the best nodes seen.  In each round it sends its vector to the best nodes
 of the pool that it hasn't asked yet; they answer with the scores of their edges; it ends when all
-of the pool have been asked.  Edges with vectors lie hash-partitioned and persisted (recomputed if
+of the pool have been asked.  Then the neighbours of ``SAMPLED`` queries are found by a full scan;
+while their pools hold less than ``RECALL`` of those, all pools double and ask again.  Edges with vectors lie hash-partitioned and persisted (recomputed if
 an executor is lost), so only questions and answers move.  Vectors travel as 16-bit floats; the best
 of the pool are scored again in double precision on the original vectors.
 
@@ -36,17 +37,23 @@ from .common import discard, materialize, shuffle_partitions
 
 NEAREST = 20
 LISTED = 24
-SENT = 12
-MEETING = 24
-TOLD = 8
+SENT = 20
+MEETING = 48
+TOLD = 16
 EDGES = 256
 BLOCK = 1024
 PASSES = 2
+#: Rounds before changes are looked at; rounds end when this share of list entries changes at most.
 ROUNDS = 4
+DELTA = 0.02
+#: Nodes in a pool at first; it grows by measured recall.
 POOL = 640
 ASKED = 160
 RESCORED = 64
 SALTS = 64
+#: Queries whose neighbours are found by a full scan too, and the recall that they must reach.
+SAMPLED = 128
+RECALL = 0.95
 
 
 def valid_rows(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -76,11 +83,12 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return u[order], s[order]
 
 
-def _pack(node: int, vec: bytes, ids: np.ndarray, scores: np.ndarray) -> dict:
-    return {"node": node, "vec": vec, "ids": ids.astype(np.int64).tobytes(), "scores": scores.astype(np.float32).tobytes()}
+def _pack(node: int, vec: bytes, old: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> dict:
+    return {"node": node, "vec": vec, "ids": ids.astype(np.int64).tobytes(), "scores": scores.astype(np.float32).tobytes(), "changed": len(np.setdiff1d(ids, old))}
 
 
-_STATE = "node long, vec binary, ids binary, scores binary"
+#: ``changed`` counts the entries of a list that weren't in it before the last round.
+_STATE = "node long, vec binary, ids binary, scores binary, changed long"
 
 
 def _halves(classes: DataFrame) -> DataFrame:
@@ -137,7 +145,7 @@ def _merged(state: DataFrame, news: DataFrame, parts: int) -> DataFrame:
         for row in rows:
             if row["kind"] == 0:
                 if node is not None:
-                    yield _pack(node, vec, *_best(np.concatenate(ids), np.concatenate(scores), LISTED))
+                    yield _pack(node, vec, ids[0], *_best(np.concatenate(ids), np.concatenate(scores), LISTED))
                 node, vec, ids, scores = row["node"], row["vec"], [], []
             if row["ids"] is not None:
                 ids.append(packs.array(row["ids"], np.int64))
@@ -146,7 +154,7 @@ def _merged(state: DataFrame, news: DataFrame, parts: int) -> DataFrame:
                 ids.append(np.array([], dtype=np.int64))
                 scores.append(np.array([], dtype=np.float32))
         if node is not None:
-            yield _pack(node, vec, *_best(np.concatenate(ids), np.concatenate(scores), LISTED))
+            yield _pack(node, vec, ids[0], *_best(np.concatenate(ids), np.concatenate(scores), LISTED))
 
     none = F.lit(None).cast("binary")
     olds = state.select("node", F.lit(0).alias("kind"), "vec", "ids", "scores") if "ids" in state.columns else state.select("node", F.lit(0).alias("kind"), "vec", none.alias("ids"), none.alias("scores"))
@@ -240,13 +248,22 @@ def build_graph(halves: DataFrame, count: int) -> DataFrame:
     for k in range(1, PASSES if blocks > 1 else 1):
         news = news.unionByName(_block_lists(halves, blocks, k, parts))
     state = materialize(_merged(halves, news, parts), "graph")
-    for r in range(ROUNDS if blocks > 1 else 0):
-        after = materialize(descend(state, r + 1, parts), "graph")
+    r, moving = 0, blocks > 1
+    while moving:
+        r += 1
+        after = materialize(descend(state, r, parts), "graph")
         discard(state)
         state = after
+        _free_shuffles(halves.sparkSession)
+        moving = r < ROUNDS or state.agg(F.sum("changed")).first()[0] > DELTA * LISTED * count
     return state
 
 
+def _free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of past rounds, so that disk doesn't grow with the rounds."""
+    spark.sparkContext._jvm.System.gc()
+
+
 _POOL = "query long, vec binary, ids binary, scores binary, asked binary"
 
 
@@ -254,7 +271,7 @@ def _open(ids: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~asked)[:ASKED]
 
 
-def _start(queries: DataFrame, entries: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _start(queries: DataFrame, entries: tuple[np.ndarray, np.ndarray], pool: int) -> DataFrame:
     """A pool for each query (query, vec) from a fixed number of entry nodes."""
     shared = queries.sparkSession.sparkContext.broadcast(entries)
 
@@ -263,7 +280,7 @@ def _start(queries: DataFrame, entries: tuple[np.ndarray, np.ndarray]) -> DataFr
         for b in batches:
             out = {"ids": [], "scores": [], "asked": []}
             for v in b["vec"].to_pylist():
-                ids, scores = _best(nodes, x @ np.frombuffer(v, dtype=np.float16).astype(np.float32), POOL)
+                ids, scores = _best(nodes, x @ np.frombuffer(v, dtype=np.float16).astype(np.float32), pool)
                 out["ids"].append(ids.tobytes())
                 out["scores"].append(scores.astype(np.float32).tobytes())
                 out["asked"].append(np.zeros(len(ids), dtype=bool).tobytes())
@@ -272,8 +289,8 @@ def _start(queries: DataFrame, entries: tuple[np.ndarray, np.ndarray]) -> DataFr
     return queries.mapInArrow(begin, _POOL)
 
 
-def _step(pools: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
-    """One round of search."""
+def _step(pools: DataFrame, edges: DataFrame, parts: int, pool: int) -> DataFrame:
+    """One round of search with pools of ``pool`` nodes."""
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -284,7 +301,7 @@ def _step(pools: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
                 node += ids[chosen].tolist()
                 query += [q] * len(chosen)
                 vec += [v] * len(chosen)
-                worst += [float(scores[-1]) if len(ids) >= POOL else -1e30] * len(chosen)
+                worst += [float(scores[-1]) if len(ids) >= pool else -1e30] * len(chosen)
             yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "query": pa.array(query, pa.int64()), "vec": pa.array(vec, pa.binary()), "worst": pa.array(worst, pa.float64())})
 
     def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +325,7 @@ def _step(pools: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
         def done() -> dict:
             old, asked = packs.array(head["ids"], np.int64), packs.array(head["asked"], bool).copy()
             asked[_open(old, asked)] = True
-            new, s = _best(np.concatenate([old, *ids]), np.concatenate([packs.array(head["scores"], np.float32), *scores]), POOL)
+            new, s = _best(np.concatenate([old, *ids]), np.concatenate([packs.array(head["scores"], np.float32), *scores]), pool)
             return {"query": head["query"], "vec": head["vec"], "ids": new.tobytes(), "scores": s.tobytes(), "asked": np.isin(new, old[asked]).tobytes()}
 
         for row in rows:
@@ -337,6 +354,50 @@ def _unfinished(pools: DataFrame) -> int:
     return pools.select("asked").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def _reopened(pools: DataFrame) -> DataFrame:
+    """The pools with nothing asked, as nodes may have been left out for want of room."""
+
+    def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            asked = [bytes(len(a)) for a in b["asked"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("query", "vec", "ids", "scores")), pa.array(asked, pa.binary())], ["query", "vec", "ids", "scores", "asked"])
+
+    return pools.mapInArrow(again, _POOL)
+
+
+def true_neighbours(classes: DataFrame, queries: DataFrame) -> dict[int, set[int]]:
+    """The best other nodes of ``SAMPLED`` queries by hash, from a full scan."""
+    rows = queries.select("query").distinct().orderBy(F.xxhash64("query"), "query").limit(SAMPLED)
+    rows = rows.join(classes.select(F.col("node").alias("query"), "embedding"), "query").collect()
+    if not rows:
+        return {}
+    own = np.array([r["query"] for r in rows], dtype=np.int64)
+    shared = classes.sparkSession.sparkContext.broadcast((own, np.array([r["embedding"] for r in rows], dtype=np.float64)))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, x = shared.value
+        kept = [(np.array([], dtype=np.int64), np.array([], dtype=np.float64))] * len(nodes)
+        for b in batches:
+            there = b["node"].to_numpy()
+            s = x @ np.array(b["embedding"].to_pylist(), dtype=np.float64).T
+            s[nodes[:, None] == there[None, :]] = -np.inf
+            kept = [_best(np.concatenate([i, there]), np.concatenate([v, row]), NEAREST) for (i, v), row in zip(kept, s, strict=True)]
+        for q, (i, v) in zip(nodes.tolist(), kept, strict=True):
+            yield pa.RecordBatch.from_pydict({"query": pa.array([q] * len(i), pa.int64()), "node": i, "score": v})
+
+    best: dict[int, list[tuple[float, int]]] = {}
+    for r in classes.select("node", "embedding").mapInArrow(scan, "query long, node long, score double").where(F.col("score") > float("-inf")).toLocalIterator():
+        best[r["query"]] = sorted([*best.get(r["query"], []), (-r["score"], r["node"])])[:NEAREST]
+    return {q: {n for _, n in found} for q, found in best.items()}
+
+
+def _recall(pools: DataFrame, true: dict[int, set[int]]) -> float:
+    """The share of the true neighbours that the pools hold among those scored again."""
+    rows = pools.where(F.col("query").isin(list(true))).select("query", "ids").collect()
+    held = sum(len(true[r["query"]] & set(packs.array(r["ids"], np.int64)[:RESCORED].tolist())) for r in rows)
+    return held / max(1, sum(map(len, true.values())))
+
+
 def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
@@ -344,14 +405,24 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
     rows = valid_rows(vectors, vec_id, embedding)
     classes = materialize(distinct_vectors(rows), "vectors")
     halves = materialize(_halves(classes), "halves")
-    state = build_graph(halves, halves.count())
+    count = halves.count()
+    state = build_graph(halves, count)
     edges = search_edges(state, parts).repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
     asking = rows.where(F.col("vec_id") % every == 0).distinct().join(classes.select("node", F.col("embedding")), "embedding").select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
     asking = materialize(asking, "asking")
     entries = halves.orderBy(F.xxhash64("node"), "node").limit(POOL).collect()
-    pools = materialize(_start(asking.select("query").distinct().join(halves.withColumnRenamed("node", "query"), "query"), (np.array([r["node"] for r in entries], dtype=np.int64), _vectors([r["vec"] for r in entries]) if entries else np.zeros((0, 1), dtype=np.float32))), "pools")
-    while _unfinished(pools):
-        after = materialize(_step(pools, edges, parts), "pools")
+    pools = materialize(_start(asking.select("query").distinct().join(halves.withColumnRenamed("node", "query"), "query"), (np.array([r["node"] for r in entries], dtype=np.int64), _vectors([r["vec"] for r in entries]) if entries else np.zeros((0, 1), dtype=np.float32)), POOL), "pools")
+    true, pool = true_neighbours(classes, asking), POOL
+    while True:
+        while _unfinished(pools):
+            after = materialize(_step(pools, edges, parts, pool), "pools")
+            discard(pools)
+            pools = after
+            _free_shuffles(spark)
+        if pool >= count or _recall(pools, true) >= RECALL:
+            break
+        pool *= 2
+        after = materialize(_reopened(pools), "pools")
         discard(pools)
         pools = after
     edges.unpersist()

@@ -43,3 +43,15 @@ def test_recall_of_graph_search(spark, monkeypatch):
     got, want = answers(df), brute(rows)
     recall = np.mean([len({j for _, j in got[q]} & {j for _, j in found}) / 20 for q, found in want.items()])
     assert got.keys() == want.keys() and recall >= 0.9
+
+
+def test_rounds_go_on_until_lists_are_near_the_true_ones(spark, monkeypatch):
+    for name, value in (("BLOCK", 128), ("ROUNDS", 1)):
+        monkeypatch.setattr(neighbours, name, value)
+    x = np.random.default_rng(5).normal(size=(2000, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "node long, embedding array<float>")
+    state = neighbours.build_graph(neighbours._halves(df), len(x)).collect()
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    best = np.argsort(-scores, axis=1)[:, : neighbours.LISTED]
+    assert np.mean([len(set(best[r["node"]]) & set(np.frombuffer(r["ids"], dtype=np.int64))) / neighbours.LISTED for r in state]) >= 0.8
