@@ -10,8 +10,9 @@ A query keeps a pool of the best nodes seen.  In each round it sends its vector
 of the pool that it hasn't asked yet; they answer with the scores of their edges; it ends when all
 of the pool have been asked.  Then the neighbours of ``SAMPLED`` queries are found by a full scan;
 while their pools hold less than ``RECALL`` of those, all pools double and ask again.  Edges with vectors lie hash-partitioned and persisted (recomputed if
-an executor is lost), so only questions and answers move.  Vectors travel as 16-bit floats; the best
-of the pool are scored again in double precision on the original vectors.
+an executor is lost), so only questions and answers move.  Vectors travel as 32-bit floats
+and are compared in double precision; the best of the pool, with all within ``ROUNDING`` of the
+last one asked for, are scored again by the defined order of sums.
 
 Bounds: a node lists ``LISTED`` others and has ``EDGES`` edges at most; ``MEETING`` nodes meet at
 a node in one round; blocks hold about ``BLOCK`` nodes by hash.  So no vector, however common,
@@ -50,6 +51,8 @@ DELTA = 0.02
 POOL = 640
 ASKED = 160
 RESCORED = 64
+#: Two sums of the same products differ by less than this share of the largest score.
+ROUNDING = 1e-9
 SALTS = 64
 #: Queries whose neighbours are found by a full scan too, and the recall that they must reach.
 SAMPLED = 128
@@ -84,29 +87,29 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def _pack(node: int, vec: bytes, old: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> dict:
-    return {"node": node, "vec": vec, "ids": ids.astype(np.int64).tobytes(), "scores": scores.astype(np.float32).tobytes(), "changed": len(np.setdiff1d(ids, old))}
+    return {"node": node, "vec": vec, "ids": ids.astype(np.int64).tobytes(), "scores": scores.astype(np.float64).tobytes(), "changed": len(np.setdiff1d(ids, old))}
 
 
 #: ``changed`` counts the entries of a list that weren't in it before the last round.
 _STATE = "node long, vec binary, ids binary, scores binary, changed long"
 
 
-def _halves(classes: DataFrame) -> DataFrame:
-    """(node, vec): vectors as 16-bit floats."""
+def _singles(classes: DataFrame) -> DataFrame:
+    """(node, vec): vectors as 32-bit floats."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vecs = [np.array(x.as_py(), dtype=np.float16).tobytes() for x in b["embedding"]]
+            vecs = [np.array(x.as_py(), dtype=np.float32).tobytes() for x in b["embedding"]]
             yield pa.RecordBatch.from_arrays([b["node"], pa.array(vecs, pa.binary())], ["node", "vec"])
 
     return classes.select("node", "embedding").mapInArrow(pack, "node long, vec binary")
 
 
 def _vectors(rows: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(v, dtype=np.float16) for v in rows]).astype(np.float32)
+    return np.stack([np.frombuffer(v, dtype=np.float32) for v in rows]).astype(np.float64)
 
 
-def _block_lists(halves: DataFrame, blocks: int, seed: int, parts: int) -> DataFrame:
+def _block_lists(singles: DataFrame, blocks: int, seed: int, parts: int) -> DataFrame:
     """(node, kind, ids, scores): the best of a random block."""
 
     def compare(rows: Iterator[dict]) -> Iterator[dict]:
@@ -120,7 +123,7 @@ def _block_lists(halves: DataFrame, blocks: int, seed: int, parts: int) -> DataF
                 k = min(LISTED, len(x) - 1)
                 top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else np.zeros((len(s), 0), dtype=np.int64)
                 for i, t in enumerate(top):
-                    yield {"node": int(nodes[a + i]), "ids": nodes[t].astype(np.int64).tobytes(), "scores": s[i, t].astype(np.float32).tobytes()}
+                    yield {"node": int(nodes[a + i]), "ids": nodes[t].astype(np.int64).tobytes(), "scores": s[i, t].astype(np.float64).tobytes()}
 
         for row in rows:
             if row["block"] != at and held:
@@ -131,7 +134,7 @@ def _block_lists(halves: DataFrame, blocks: int, seed: int, parts: int) -> DataF
         if held:
             yield from lists()
 
-    dealt = halves.withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(blocks)))
+    dealt = singles.withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(blocks)))
     return packs.in_groups(dealt, parts, "block", None, compare, "node long, ids binary, scores binary")
 
 
@@ -149,10 +152,10 @@ def _merged(state: DataFrame, news: DataFrame, parts: int) -> DataFrame:
                 node, vec, ids, scores = row["node"], row["vec"], [], []
             if row["ids"] is not None:
                 ids.append(packs.array(row["ids"], np.int64))
-                scores.append(packs.array(row["scores"], np.float32))
+                scores.append(packs.array(row["scores"], np.float64))
             elif row["kind"] == 0:
                 ids.append(np.array([], dtype=np.int64))
-                scores.append(np.array([], dtype=np.float32))
+                scores.append(np.array([], dtype=np.float64))
         if node is not None:
             yield _pack(node, vec, ids[0], *_best(np.concatenate(ids), np.concatenate(scores), LISTED))
 
@@ -168,14 +171,14 @@ def _sent(state: DataFrame, sent: int, seed: int) -> DataFrame:
         for b in batches:
             place, node, vec, worst, draw = [], [], [], [], []
             for n, v, i, s in zip(*(b[c].to_pylist() for c in ("node", "vec", "ids", "scores")), strict=True):
-                ids, scores = packs.array(i, np.int64), packs.array(s, np.float32)
+                ids, scores = packs.array(i, np.int64), packs.array(s, np.float64)
                 rng = np.random.default_rng((n * 1_000_003 + seed) & 0x7FFFFFFFFFFFFFFF)
                 chosen = rng.permutation(len(ids))[:sent] if sent < len(ids) else np.arange(len(ids))
                 place += ids[chosen].tolist()
                 draw += rng.random(len(chosen)).tolist() if sent < LISTED else (-scores[chosen]).tolist()
                 node += [n] * len(chosen)
                 vec += [v] * len(chosen)
-                worst += [float(scores[-1]) if len(ids) == LISTED else -1e30] * len(chosen)
+                worst += [float(scores[-1]) if len(ids) == LISTED else float("-inf")] * len(chosen)
             yield pa.RecordBatch.from_pydict({"place": pa.array(place, pa.int64()), "draw": pa.array(draw, pa.float64()), "node": pa.array(node, pa.int64()), "vec": pa.array(vec, pa.binary()), "worst": pa.array(worst, pa.float64())})
 
     return state.mapInArrow(send, "place long, draw double, node long, vec binary, worst double")
@@ -198,7 +201,7 @@ def descend(state: DataFrame, seed: int, parts: int) -> DataFrame:
                 better = np.flatnonzero(row > worst[i])
                 better = better[np.argsort(-row[better], kind="stable")[:TOLD]]
                 if len(better):
-                    yield {"node": int(nodes[i]), "ids": nodes[better].astype(np.int64).tobytes(), "scores": row[better].astype(np.float32).tobytes()}
+                    yield {"node": int(nodes[i]), "ids": nodes[better].astype(np.int64).tobytes(), "scores": row[better].astype(np.float64).tobytes()}
 
         for row in rows:
             if row["place"] != at:
@@ -211,7 +214,7 @@ def descend(state: DataFrame, seed: int, parts: int) -> DataFrame:
     def own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each node is at its own place too."""
         for b in batches:
-            worst = [float(packs.array(s, np.float32)[-1]) if len(s) == 4 * LISTED else -1e30 for s in b["scores"].to_pylist()]
+            worst = [float(packs.array(s, np.float64)[-1]) if len(s) == 8 * LISTED else float("-inf") for s in b["scores"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"place": b["node"], "draw": pa.array([-1e30] * b.num_rows, pa.float64()), "node": b["node"], "vec": b["vec"], "worst": pa.array(worst, pa.float64())})
 
     there = _sent(state, SENT, seed).unionByName(state.mapInArrow(own, "place long, draw double, node long, vec binary, worst double"))
@@ -240,21 +243,21 @@ def search_edges(state: DataFrame, parts: int) -> DataFrame:
     return packs.in_groups(_sent(state, LISTED, 0), parts, "place", "draw", gather, "node long, others binary, vecs binary")
 
 
-def build_graph(halves: DataFrame, count: int) -> DataFrame:
+def build_graph(singles: DataFrame, count: int) -> DataFrame:
     """States after NN-descent: each node's list of near nodes."""
-    parts = shuffle_partitions(halves.sparkSession)
+    parts = shuffle_partitions(singles.sparkSession)
     blocks = max(1, -(-count // BLOCK))
-    news = _block_lists(halves, blocks, 0, parts)
+    news = _block_lists(singles, blocks, 0, parts)
     for k in range(1, PASSES if blocks > 1 else 1):
-        news = news.unionByName(_block_lists(halves, blocks, k, parts))
-    state = materialize(_merged(halves, news, parts), "graph")
+        news = news.unionByName(_block_lists(singles, blocks, k, parts))
+    state = materialize(_merged(singles, news, parts), "graph")
     r, moving = 0, blocks > 1
     while moving:
         r += 1
         after = materialize(descend(state, r, parts), "graph")
         discard(state)
         state = after
-        _free_shuffles(halves.sparkSession)
+        _free_shuffles(singles.sparkSession)
         moving = r < ROUNDS or state.agg(F.sum("changed")).first()[0] > DELTA * LISTED * count
     return state
 
@@ -280,9 +283,9 @@ def _start(queries: DataFrame, entries: tuple[np.ndarray, np.ndarray], pool: int
         for b in batches:
             out = {"ids": [], "scores": [], "asked": []}
             for v in b["vec"].to_pylist():
-                ids, scores = _best(nodes, x @ np.frombuffer(v, dtype=np.float16).astype(np.float32), pool)
+                ids, scores = _best(nodes, x @ np.frombuffer(v, dtype=np.float32).astype(np.float64), pool)
                 out["ids"].append(ids.tobytes())
-                out["scores"].append(scores.astype(np.float32).tobytes())
+                out["scores"].append(scores.astype(np.float64).tobytes())
                 out["asked"].append(np.zeros(len(ids), dtype=bool).tobytes())
             yield pa.RecordBatch.from_pydict({"query": b["query"], "vec": b["vec"]} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
 
@@ -296,20 +299,20 @@ def _step(pools: DataFrame, edges: DataFrame, parts: int, pool: int) -> DataFram
         for b in batches:
             node, query, vec, worst = [], [], [], []
             for q, v, i, s, a in zip(*(b[c].to_pylist() for c in ("query", "vec", "ids", "scores", "asked")), strict=True):
-                ids, scores = packs.array(i, np.int64), packs.array(s, np.float32)
+                ids, scores = packs.array(i, np.int64), packs.array(s, np.float64)
                 chosen = _open(ids, packs.array(a, bool))
                 node += ids[chosen].tolist()
                 query += [q] * len(chosen)
                 vec += [v] * len(chosen)
-                worst += [float(scores[-1]) if len(ids) >= pool else -1e30] * len(chosen)
+                worst += [float(scores[-1]) if len(ids) >= pool else float("-inf")] * len(chosen)
             yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "query": pa.array(query, pa.int64()), "vec": pa.array(vec, pa.binary()), "worst": pa.array(worst, pa.float64())})
 
     def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             query, ids, scores = [], [], []
             for q, v, w, o, x in zip(*(b[c].to_pylist() for c in ("query", "vec", "worst", "others", "vecs")), strict=True):
-                own = np.frombuffer(v, dtype=np.float16).astype(np.float32)
-                s = np.frombuffer(x, dtype=np.float16).reshape(-1, len(own)).astype(np.float32) @ own
+                own = np.frombuffer(v, dtype=np.float32).astype(np.float64)
+                s = np.frombuffer(x, dtype=np.float32).reshape(-1, len(own)).astype(np.float64) @ own
                 good = np.flatnonzero(s > w)
                 if len(good):
                     query.append(q)
@@ -325,7 +328,7 @@ def _step(pools: DataFrame, edges: DataFrame, parts: int, pool: int) -> DataFram
         def done() -> dict:
             old, asked = packs.array(head["ids"], np.int64), packs.array(head["asked"], bool).copy()
             asked[_open(old, asked)] = True
-            new, s = _best(np.concatenate([old, *ids]), np.concatenate([packs.array(head["scores"], np.float32), *scores]), pool)
+            new, s = _best(np.concatenate([old, *ids]), np.concatenate([packs.array(head["scores"], np.float64), *scores]), pool)
             return {"query": head["query"], "vec": head["vec"], "ids": new.tobytes(), "scores": s.tobytes(), "asked": np.isin(new, old[asked]).tobytes()}
 
         for row in rows:
@@ -335,7 +338,7 @@ def _step(pools: DataFrame, edges: DataFrame, parts: int, pool: int) -> DataFram
                 head, ids, scores = row, [], []
             else:
                 ids.append(packs.array(row["ids"], np.int64))
-                scores.append(packs.array(row["scores"], np.float32))
+                scores.append(packs.array(row["scores"], np.float64))
         if head is not None:
             yield done()
 
@@ -404,14 +407,14 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
     parts = shuffle_partitions(spark)
     rows = valid_rows(vectors, vec_id, embedding)
     classes = materialize(distinct_vectors(rows), "vectors")
-    halves = materialize(_halves(classes), "halves")
-    count = halves.count()
-    state = build_graph(halves, count)
+    singles = materialize(_singles(classes), "singles")
+    count = singles.count()
+    state = build_graph(singles, count)
     edges = search_edges(state, parts).repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
     asking = rows.where(F.col("vec_id") % every == 0).distinct().join(classes.select("node", F.col("embedding")), "embedding").select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
     asking = materialize(asking, "asking")
-    entries = halves.orderBy(F.xxhash64("node"), "node").limit(POOL).collect()
-    pools = materialize(_start(asking.select("query").distinct().join(halves.withColumnRenamed("node", "query"), "query"), (np.array([r["node"] for r in entries], dtype=np.int64), _vectors([r["vec"] for r in entries]) if entries else np.zeros((0, 1), dtype=np.float32)), POOL), "pools")
+    entries = singles.orderBy(F.xxhash64("node"), "node").limit(POOL).collect()
+    pools = materialize(_start(asking.select("query").distinct().join(singles.withColumnRenamed("node", "query"), "query"), (np.array([r["node"] for r in entries], dtype=np.int64), _vectors([r["vec"] for r in entries]) if entries else np.zeros((0, 1), dtype=np.float64)), POOL), "pools")
     true, pool = true_neighbours(classes, asking), POOL
     while True:
         while _unfinished(pools):
@@ -436,13 +439,15 @@ def _ranked(pools: DataFrame, classes: DataFrame, asking: DataFrame) -> DataFram
     def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             query, node = [], []
-            for q, i in zip(b["query"].to_pylist(), b["ids"].to_pylist(), strict=True):
-                ids = packs.array(i, np.int64)[:RESCORED]
+            for q, i, s in zip(*(b[c].to_pylist() for c in ("query", "ids", "scores")), strict=True):
+                ids, scores = packs.array(i, np.int64), packs.array(s, np.float64)
+                last = scores[min(NEAREST, len(ids) - 1)] - ROUNDING * np.abs(scores).max()
+                ids = ids[: max(RESCORED, int((scores >= last).sum()))]
                 node += ids.tolist()
                 query += [q] * len(ids)
             yield pa.RecordBatch.from_pydict({"query": pa.array(query, pa.int64()), "node": pa.array(node, pa.int64())})
 
-    pairs = pools.select("query", "ids").mapInArrow(best, "query long, node long")
+    pairs = pools.select("query", "ids", "scores").mapInArrow(best, "query long, node long")
     found = pairs.join(classes.select("node", F.col("embedding").alias("theirs"), "ids"), "node").join(classes.select(F.col("node").alias("query"), F.col("embedding").alias("own")), "query")
     product = F.aggregate(F.zip_with("own", "theirs", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
     listed = found.select("query", product.alias("score"), F.explode("ids").alias("vec_id"))

@@ -50,8 +50,18 @@ def test_rounds_go_on_until_lists_are_near_the_true_ones(spark, monkeypatch):
         monkeypatch.setattr(neighbours, name, value)
     x = np.random.default_rng(5).normal(size=(2000, 16)).astype(np.float32)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "node long, embedding array<float>")
-    state = neighbours.build_graph(neighbours._halves(df), len(x)).collect()
+    state = neighbours.build_graph(neighbours._singles(df), len(x)).collect()
     scores = x @ x.T
     np.fill_diagonal(scores, -np.inf)
     best = np.argsort(-scores, axis=1)[:, : neighbours.LISTED]
     assert np.mean([len(set(best[r["node"]]) & set(np.frombuffer(r["ids"], dtype=np.int64))) / neighbours.LISTED for r in state]) >= 0.8
+
+
+def test_near_copies_and_large_and_small_components(spark):
+    rng = np.random.default_rng(6)
+    one = np.full(8, 8**-0.5)
+    for x in (one + 1e-5 * rng.normal(size=(600, 8)), 1e6 * rng.normal(size=(100, 8)), 1e-10 * rng.normal(size=(100, 8))):
+        rows = [(i, [float(v) for v in r]) for i, r in enumerate(np.float32(x))]
+        got, want = answers(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), brute(rows)
+        assert got.keys() == want.keys()
+        assert np.mean([len({j for _, j in got[q]} & {j for _, j in found}) / 20 for q, found in want.items()]) >= 0.99
