@@ -561,11 +561,11 @@ def next_speakers(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def decode_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Token histories of whole conversations back to tagged text."""
-    rows = _histories(spark, d).where(F.col("at") % 5 == 0)
-    ids = F.concat_ws(":", "conv_id", "at")
+    """Token histories back to tagged text; one without tokens is empty."""
+    rows = _histories(spark, d).select(F.concat_ws(":", "conv_id", "at").alias("row_id"), "ids")
     pieces = spark.range(1000).select(F.col("id").cast("int").alias("token"), F.concat(F.lit(" w"), F.col("id").cast("string")).alias("piece"))
-    return parsing.decode_tokens(rows.select(ids.alias("row_id"), F.posexplode("ids").alias("pos", "token")), pieces)
+    decoded = parsing.decode_tokens(rows.select("row_id", F.posexplode("ids").alias("pos", "token")), pieces)
+    return rows.select("row_id").join(decoded, "row_id", "left").withColumn("decoded", F.coalesce("decoded", F.lit("")))
 
 
 @query("SELECT conv_id, turn, greatest(0, ceil(len(text) / 30.0)::BIGINT - 1) AS tiles FROM conversations")

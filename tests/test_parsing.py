@@ -84,3 +84,13 @@ def test_tokens_to_text(spark):
     kept = parsing.decode_tokens(tokens, vocabulary).first()["decoded"]
     assert kept == "<|speaker1|><|0.00|> seven<|31.00|><|speaker2|><|30.10|> eight"
     assert parsing.decode_tokens(tokens, vocabulary, reset_on_speaker=True).first()["decoded"].endswith("<|speaker2|><|0.10|> eight")
+
+
+def test_every_token_history_is_decoded(spark, tmp_path):
+    from colloquy.plans.queries import QUERIES
+
+    turns = spark.createDataFrame([(7, 0, "user", "abc"), (7, 1, "assistant", "de")], "conv_id long, turn int, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["row_id"]: r["decoded"] for r in QUERIES["decode_tokens"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {f"7:{k}" for k in range(11)} and got["7:0"] == "" and got["7:1"] == "<|speaker1|>"
+    assert all(got[f"7:{k + 1}"].startswith(got[f"7:{k}"]) for k in range(10))
