@@ -8,11 +8,12 @@ within ``WINDOW`` terms of e, the disclosure is
     PMI(e; t) / IC(e) = 1 + log(n(e, t) / n(t)) / log(D / n(e)),
 
 which is 1 if t occurs near e only.  It counts if at least ``SUPPORT`` different surroundings
-show it, so that copies of one text are one piece of evidence.  In documents, terms near e with a
-disclosure of at least ``GENERALISE`` become their kind, and from ``REMOVE`` on they go.
+show it, so that copies of one text are one piece of evidence.  In all documents, terms with a
+disclosure of at least ``GENERALISE`` for any e become their kind wherever they stand, and from
+``REMOVE`` on they go.
 
 One pass finds patterns and the terms near them; a second counts documents for those terms only,
-recognised by a bit table of fixed size that all other words pass by (a false hit is only one
+and a third finds all places of those that disclose; they are recognised by a bit table of fixed size that all other words pass by (a false hit is only one
 more counted word).  Counts and joins are by hash, pre-aggregated; texts are not shuffled.
 
 Defined edge cases: null text is empty; repeated rows count as documents and get the same spans;
@@ -122,9 +123,8 @@ def _hash(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value.encode()) - (1 << 63)
 
 
-def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Terms near each entity; a row with term 0 for each entity, once.  ``first`` marks the first of
-    equal (entity, term) in the document."""
+def free_terms(text: str, spans: list[tuple[str, int, int]]) -> list[re.Match]:
+    """The terms outside the spans."""
     terms = [m for m in _TERM.finditer(text) if not m[0].isdigit()]
     covered = sorted((a, b) for _, a, b in spans)
     starts = [a for a, _ in covered]
@@ -133,7 +133,13 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
         k = bisect_left(starts, m.end())
         return all(b <= m.start() for _, b in covered[max(0, k - len(KINDS)) : k])
 
-    terms = [m for m in terms if outside(m)]
+    return [m for m in terms if outside(m)]
+
+
+def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
+    """Terms near each entity; a row with term 0 for each entity, once.  ``first`` marks the first of
+    equal (entity, term) in the document."""
+    terms = free_terms(text, spans)
     places = [m.start() for m in terms]
     out, seen = [], set()
     for kind, a, b in spans:
@@ -255,11 +261,29 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(entities, "entity").join(counts, "term").withColumn("disclosure", disclosure).where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 
 
-def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, spans): the terms to treat in each document that has any, by start."""
-    near = found.where(F.size("near") > 0).select("doc_id", "text_hash", F.inline("near")).where("term <> 0")
-    hits = near.join(terms, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    return hits.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, spans): the terms to treat in each document that has any, by start,
+    wherever they stand; the bit table finds them, the join by hash decides."""
+    known = terms.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(_bit_table(known.select("term"))))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(shared.value).astype(bool)
+        for b in batches:
+            rows = {"doc_id": [], "text_hash": [], "term": [], "start": [], "end": []}
+            for i, t in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
+                text = t.as_py() or ""
+                words = list({x.lower() for x in _TERM.findall(text)})
+                h = np.array([_hash(x) for x in words], dtype=np.int64)
+                hits = {words[k]: int(h[k]) for k in np.flatnonzero(table[_bit(h)])}
+                for m in free_terms(text, base_spans(text)) if hits else ():
+                    if m[0].lower() in hits:
+                        for name, x in zip(rows, (i, _hash(text), hits[m[0].lower()], m.start(), m.end()), strict=True):
+                            rows[name].append(x)
+            yield pa.RecordBatch.from_pydict({n: pa.array(x, pa.int32() if n in ("start", "end") else pa.int64()) for n, x in rows.items()})
+
+    places = docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, text_hash long, term long, start int, end int").distinct()
+    return places.join(known, "term").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
 
 
 def _same_document(other: DataFrame, doc_id: str = "doc_id", text_hash: str = "text_hash") -> tuple[DataFrame, list]:
@@ -270,7 +294,7 @@ def _same_document(other: DataFrame, doc_id: str = "doc_id", text_hash: str = "t
 def analyse(docs: DataFrame) -> DataFrame:
     """A row for each document: id, counts, ``base`` and ``terms`` (start, end, disclosure)."""
     found = materialize(find(docs), "pii")
-    spans, same = _same_document(materialize(term_spans(found, disclosing_terms(docs, found)), "terms"))
+    spans, same = _same_document(materialize(term_spans(docs, materialize(disclosing_terms(docs, found), "disclosing")), "terms"))
     return found.join(spans, same, "left").drop("__i", "__h", "near")
 
 
@@ -304,7 +328,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ids = docs.select("doc_id", "text")
     found = materialize(find(ids), "pii")
-    spans, _ = _same_document(materialize(term_spans(found, disclosing_terms(ids, found)), "terms"))
+    spans, _ = _same_document(materialize(term_spans(ids, materialize(disclosing_terms(ids, found), "disclosing")), "terms"))
     own, own_terms = free_name(docs.columns, "__text_hash"), free_name(docs.columns, "terms")
     spans = spans.withColumnRenamed("terms", own_terms)
 

@@ -85,3 +85,12 @@ def test_query_on_awkward_rows(spark, tmp_path):
     out = pii.pii_stage(spark, awkward(docs), "")
     assert out.columns == awkward(docs).columns and out.count() == docs.count()
     assert pii.pii_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_disclosing_terms_are_treated_wherever_they_stand(spark):
+    far = "Falkenrath " + "x " * 30
+    docs = corpus(spark).unionByName(spark.createDataFrame([(1000, far), (1001, f"boss@acme.example.com {'x ' * 30}falkenrath")], "doc_id long, text string"))
+    clean = {r["doc_id"]: r["text"] for r in pii.pii_stage(spark, docs, "").collect()}
+    assert not any("falkenrath" in t.lower() for t in clean.values())
+    spans = {r["doc_id"]: r["terms"] for r in pii.analyse(docs).collect()}
+    assert [(t["start"], t["end"]) for t in spans[1000]] == [(0, 10)]
