@@ -7,8 +7,9 @@ within ``WINDOW`` terms of e, the disclosure is
 
     PMI(e; t) / IC(e) = 1 + log(n(e, t) / n(t)) / log(D / n(e)),
 
-which is 1 if t occurs near e only.  It counts if at least ``SUPPORT`` different surroundings
-show it, so that copies of one text are one piece of evidence.  In all documents, terms with a
+which is 1 if t occurs near e only.  In place of the share n(e, t) / n(t) stands its lower
+confidence bound (Wilson, ``Z`` standard errors), where s different surroundings of e that show t
+count as s observations, so that copies of one text are one piece of evidence and few count less.  In all documents, terms with a
 disclosure of at least ``GENERALISE`` for any e become their kind wherever they stand, and from
 ``REMOVE`` on they go.
 
@@ -30,7 +31,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import packs
@@ -38,7 +39,7 @@ from .common import free_name, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 8
-SUPPORT = 3
+Z = 1.645
 GENERALISE, REMOVE = 0.8, 0.95
 #: Bits of the table that recognises counted terms.
 TABLE_BITS = 1 << 23
@@ -247,17 +248,25 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
+def lower_share(share: Column, hits: Column) -> Column:
+    """Wilson's lower bound of a share in which ``hits`` observations are hits."""
+    n = hits / share
+    middle, width = share + Z * Z / (2 * n), Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))
+    return (middle - width) / (1 + Z * Z / n)
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, disclosure) for the pairs that pass the lower threshold."""
     total = docs.count()
     near = found.select(F.inline("near"))
     entities = near.where("term = 0").groupBy("entity").agg(F.sum("first").alias("n_e"))
     pairs = near.where("term <> 0").groupBy("entity", "term", "context").agg(F.sum("first").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("n_et")).where(F.col("support") >= SUPPORT)
+    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("n_et"))
     pairs = materialize(pairs, "pairs")
     counts = document_counts(docs, pairs.select("term").distinct())
     content = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
-    disclosure = F.when(content > 0, 1 + F.log(F.col("n_et") / F.greatest("n_t", "n_et")) / content).otherwise(F.lit(0.0))
+    share = lower_share(F.col("n_et") / F.greatest("n_t", "n_et"), F.col("support"))
+    disclosure = F.when(content > 0, 1 + F.log(share) / content).otherwise(F.lit(0.0))
     return pairs.join(entities, "entity").join(counts, "term").withColumn("disclosure", disclosure).where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 
 

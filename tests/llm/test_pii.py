@@ -94,3 +94,11 @@ def test_disclosing_terms_are_treated_wherever_they_stand(spark):
     assert not any("falkenrath" in t.lower() for t in clean.values())
     spans = {r["doc_id"]: r["terms"] for r in pii.analyse(docs).collect()}
     assert [(t["start"], t["end"]) for t in spans[1000]] == [(0, 10)]
+
+
+def test_few_surroundings_count_by_a_bound(spark):
+    rows = [f"w{k % 7} Falkenrath boss@acme.org w{k % 5} v{k}" for k in range(2)] + [f"w{k % 7} w{k % 5}" for k in range(20_000)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r["doc_id"]: [rows[r["doc_id"]][t["start"] : t["end"]] for t in r["terms"] or ()] for r in pii.analyse(docs).collect()}
+    assert all("Falkenrath" in found[k] for k in range(2))
+    assert not any(w.startswith("w") for words in found.values() for w in words)
