@@ -4,12 +4,16 @@ For every byte prefix of a piece there is exactly one encoding, so its last toke
 encoder stores that token for each prefix: a token t may end a prefix if the prefix before it ends
 in a token u such that the pair u, t survives merging (merging the bytes of both gives u, t
 again).  Appending bytes only adds prefixes; an edit keeps all prefixes before it and is done
-once the stored tokens behind it agree again.  Merging, which decides whether a pair is valid,
-runs on two short tokens only and is remembered.
+once the stored tokens behind it agree again.
+
+:class:`PrefixEncoder` does this for one piece; there, merging two tokens decides whether a pair is
+valid.  :class:`BatchEncoder` does it for the new pieces of many texts at once on arrays, and undoes
+merges instead.
 
 Texts are split by the tokenizer's pattern and each match is encoded by itself, without special
 tokens.  Decoding joins the tokens' bytes.  Defined edge cases: a null text is the empty text and
-has no tokens; repeated rows are encoded each for itself; texts of any length are encoded whole.
+has no tokens; repeated rows are encoded each for itself; texts of any length are encoded whole, an
+empty table gives no rows, and columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -17,14 +21,20 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Pieces and pairs that a worker remembers at most; beyond that the older half goes.
-REMEMBERED = 700_000
-#: Longer pieces are encoded but not remembered.
+#: Pieces, and pairs of the scalar encoder, that a worker remembers at most; when full, it starts anew.
+REMEMBERED = 150_000
+#: Pieces of more bytes go through the scalar encoder and are not remembered.
 LONGEST_REMEMBERED = 64
+#: Text that is split before its new pieces are encoded together.
+CHUNK_CHARS = 1 << 20
+#: Slots of the table of pairs whose validity is known (any number gives the same results).
+PAIR_SLOTS_BITS = 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,12 +44,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Memory(dict):
-    """A dict of bounded size: when it is full, the older half goes."""
+    """A dict of bounded size: when it is full, it starts anew."""
 
     def __setitem__(self, key, value) -> None:  # noqa: ANN001
         if len(self) >= REMEMBERED:
-            for old in list(self)[: REMEMBERED // 2]:
-                del self[old]
+            self.clear()
         super().__setitem__(key, value)
 
 
@@ -64,10 +73,10 @@ class PrefixEncoder:
         self._pairs: dict[int, bool] = Memory()
         self._whole: dict[int, bool] = {}
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """Plain merging by lowest rank; used on one or two tokens only."""
+    def merged(self, data: bytes, stop: int = 1) -> list[bytes]:
+        """Plain merging by lowest rank down to ``stop`` parts; used on one or two tokens only."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > stop:
             ranked = [(self.ranks.get(a + b), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
             best = min(((r, i) for r, i in ranked if r is not None), default=None)
             if best is None:
@@ -141,45 +150,225 @@ class PrefixEncoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+class Tables:
+    """A vocabulary as arrays, made once and sent to the workers; its size is that of one vocabulary file.
+
+    ``left`` and ``right`` are the two tokens whose merge makes a token (-1 for single bytes), ``pairs``
+    and ``made`` those merges in order of their key.  The tokens are a trie: ``steps`` holds state * 256 +
+    byte in order, ``to`` the next state, ``token`` the token that ends in a state, if any.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        scalar = PrefixEncoder(ranks)
+        self.width = scalar.width
+        self.size = np.zeros(self.width, dtype=np.int32)
+        self.left = np.full(self.width, -1, dtype=np.int64)
+        self.right = np.full(self.width, -1, dtype=np.int64)
+        trie: dict[int, int] = {}
+        ends = {}
+        for token, rank in ranks.items():
+            parts = scalar.merged(token, 2)
+            if len(parts) > 2 or (len(parts) == 2 and b"".join(parts) not in ranks):
+                continue  # merging never makes this token
+            self.size[rank] = len(token)
+            if len(parts) == 2:
+                self.left[rank], self.right[rank] = ranks[parts[0]], ranks[parts[1]]
+            state = 0
+            for byte in token:
+                state = trie.setdefault(state * 256 + byte, len(trie) + 1)
+            ends[state] = rank
+        self.steps, order = np.unique(np.fromiter(trie, dtype=np.int64, count=len(trie)), return_index=True)
+        self.to = np.fromiter(trie.values(), dtype=np.int64, count=len(trie))[order]
+        self.token = np.full(len(trie) + 1, -1, dtype=np.int64)
+        self.token[list(ends)] = list(ends.values())
+        split = np.flatnonzero(self.left >= 0)
+        keys = self.left[split] * self.width + self.right[split]
+        order = np.argsort(keys)
+        self.pairs, self.made = keys[order], split[order]
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``wanted`` stand in sorted ``keys``, and whether they do."""
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
+
+
+class BatchEncoder:
+    """The prefix dynamic program for many pieces at once: step i gives all pieces their last token at byte i.
+
+    A pair of tokens survives merging if no merge across their border comes before the merges that
+    make them.  Undoing those merges from the last one shows the tokens that ever meet at the border.
+    """
+
+    def __init__(self, tables: Tables) -> None:
+        self.t = tables
+        self._key = np.full(1 << PAIR_SLOTS_BITS, -1, dtype=np.int64)
+        self._good = np.zeros(1 << PAIR_SLOTS_BITS, dtype=bool)
+
+    def _survive(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        t = self.t
+        good = np.ones(len(a), dtype=bool)
+        limit, live = np.full(len(a), np.iinfo(np.int64).max), np.arange(len(a))  # a merge across counts below this rank
+        while len(live):
+            at, known = _find(t.pairs, a * t.width + b)
+            bad = known & (t.made[at] < limit) if len(t.made) else known
+            good[live[bad]] = False
+            whole_a, whole_b = t.left[a] < 0, t.left[b] < 0
+            go = ~bad & ~(whole_a & whole_b)
+            live, a, b, whole_a, whole_b = live[go], a[go], b[go], whole_a[go], whole_b[go]
+            undo_a = ~whole_a & (whole_b | (a > b))
+            limit = np.where(undo_a, a, b + 1)  # of equal merges the left one comes first
+            a, b = np.where(undo_a, t.right[a], a), np.where(undo_a, b, t.left[b])
+        return good
+
+    def _pairs_survive(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * self.t.width + b
+        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_SLOTS_BITS)).astype(np.int64)
+        good, new = self._good[slot], np.flatnonzero(self._key[slot] != key)
+        if len(new):
+            _, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            one = new[first]
+            found = self._survive(a[one], b[one])
+            good[new] = found[back]
+            # of several keys for a slot numpy keeps one, and the same one for both tables
+            self._key[slot[one]] = key[one]
+            self._good[slot[one]] = found
+            lost = self._key[slot[one]] != key[one]
+            if lost.any():
+                self._key[slot[one[lost]]] = -1
+        return good
+
+    def _matches(self, data: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first byte, size, token) of every token that stands anywhere inside a piece, longest last."""
+        t, found = self.t, []
+        at, state, depth = np.arange(len(data)), np.zeros(len(data), dtype=np.int64), 0
+        while len(at):
+            go, known = _find(t.steps, state * 256 + data[at + depth])
+            at, state = at[known], t.to[go[known]]
+            depth += 1
+            token = t.token[state]
+            full = token >= 0
+            found.append((at[full], np.full(int(full.sum()), depth), token[full]))
+            more = room[at] > depth
+            at, state = at[more], state[more]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
+
+    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece; no piece is empty."""
+        lens = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        stops = np.cumsum(lens)
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int64)
+        place = np.arange(len(data)) - np.repeat(stops - lens, lens)
+        first, size, token = self._matches(data, np.repeat(lens, lens) - place)
+        end = first + size - 1
+        last = np.full(len(data), -1, dtype=np.int64)
+        order = np.lexsort((-size, end, place[end]))  # step by step, at each byte the longest token first
+        first, end, token = first[order], end[order], token[order]
+        turn = np.arange(len(end)) - np.flatnonzero(np.r_[True, end[1:] != end[:-1]])[np.cumsum(np.r_[False, end[1:] != end[:-1]])] if len(end) else end
+        bounds = np.searchsorted(place[end], np.arange(int(lens.max(initial=0)) + 1))
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            f, e, t, n = first[a:b], end[a:b], token[a:b], turn[a:b]
+            for k in range(int(n.max(initial=-1)) + 1):
+                try_ = np.flatnonzero((n == k) & (last[e] < 0))
+                good = place[f[try_]] == 0
+                rest = try_[~good]
+                before = last[f[rest] - 1]
+                good[~good] = (before >= 0) & self._pairs_survive(np.maximum(before, 0), t[rest])
+                last[e[try_[good]]] = t[try_[good]]
+        if (last < 0).any():
+            raise ValueError(f"no token ends at byte {int(place[np.argmax(last < 0)]) + 1} of a piece")
+        at, own, back = stops - 1, np.arange(len(pieces)), []
+        begin = stops - lens
+        while len(at):
+            now = last[at]
+            back.append((own, now))
+            at = at - self.t.size[now]
+            more = at >= begin[own]
+            at, own = at[more], own[more]
+        if not back:
+            return []
+        owner, ids = (np.concatenate(x[::-1]) for x in zip(*back, strict=True))
+        flat = ids[np.argsort(owner, kind="stable")].tolist()
+        ends = np.cumsum(np.bincount(owner, minlength=len(pieces))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class TextEncoder:
-    """Encodes whole texts: splits by the pattern and remembers short pieces."""
+    """Encodes whole texts: splits by the pattern, encodes new pieces together and remembers short ones."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, tables: Tables | None = None) -> None:
         import regex
 
-        self.pieces = PrefixEncoder(ranks)
-        self._find = regex.compile(pattern).findall
-        self._known: dict[str, list[int]] = Memory()
+        self.ranks = ranks
+        self._batch = BatchEncoder(tables or Tables(ranks))
+        self._split = regex.compile(pattern).findall
+        self._known: dict[str, list[int]] = {}
+        self._bytes_of: dict[int, bytes] = {}
+
+    @cached_property
+    def pieces(self) -> PrefixEncoder:
+        return PrefixEncoder(self.ranks)
+
+    def encode_many(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text, in order."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= CHUNK_CHARS:
+                yield from self._encode_chunk(held)
+                held, size = [], 0
+        yield from self._encode_chunk(held)
+
+    def _encode_chunk(self, texts: list[str]) -> Iterator[list[int]]:
+        split = [self._split(t) for t in texts]
+        known = self._known
+        new = list({p for pieces in split for p in pieces if p not in known})
+        short, long = [], []
+        for p in new:
+            data = p.encode()
+            if (whole := self.ranks.get(data)) is not None:
+                known[p] = [whole]
+            elif len(data) <= LONGEST_REMEMBERED:
+                short.append((p, data))
+            else:
+                long.append((p, data))
+        known.update(zip((p for p, _ in short), self._batch.encode([d for _, d in short]), strict=True))
+        known.update((p, self.pieces.encode(d)) for p, d in long)
+        for pieces in split:
+            ids: list[int] = []
+            for p in pieces:
+                ids += known[p]
+            yield ids
+        for p, _ in long:
+            del known[p]
+        if len(known) > REMEMBERED:
+            known.clear()
 
     def encode(self, text: str) -> list[int]:
-        known, ids = self._known, []
-        for piece in self._find(text):
-            got = known.get(piece)
-            if got is None:
-                got = self.pieces.encode(piece.encode())
-                if len(piece) <= LONGEST_REMEMBERED:
-                    known[piece] = got
-            ids += got
+        [ids] = self._encode_chunk([text])
         return ids
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return self.pieces.decode(ids)
+        if not self._bytes_of:
+            self._bytes_of = {r: t for t, r in self.ranks.items()}
+        return b"".join(map(self._bytes_of.__getitem__, ids))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False, ids: bool = True) -> DataFrame:
     """``keep`` columns with ``ids`` (array of int) and, with ``digests``, the count of the ids and the
     SHA-256 of the ids and of the decoded bytes, computed where the ids are."""
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))  # one vocabulary file, of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern, Tables(ranks)))  # one vocabulary file, of fixed size
 
     def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = TextEncoder(*shared.value)
         for b in source:
             for at in range(0, b.num_rows, 256):
                 coded, counts, of_ids, of_bytes = [], [], [], []
-                for t in b["__text"].slice(at, 256).to_pylist():
-                    found = coder.encode(t or "")
+                for found in coder.encode_many([t or "" for t in b["__text"].slice(at, 256).to_pylist()]):
                     if ids:
-                        coded.append(found)
+                        coded.append(np.array(found, dtype=np.int32))
                     if digests:
                         counts.append(len(found))
                         of_ids.append(hashlib.sha256(" ".join(map(str, found)).encode()).hexdigest())
