@@ -8,7 +8,10 @@ SHA-1 that its header states, so a digest that met two payloads could not pass u
 Of records with equal payloads of at least ``min_bytes`` the one with the largest page id is the
 response and the others are revisits that refer to it; smaller ones are all responses.
 
-Defined edge cases: null html is the empty payload; null urls give an empty target; of equal
+Keys shared by many records are dealt to several tasks on reading.
+
+Defined edge cases: null html is the empty payload; null urls give an empty target and line ends in
+urls are percent-encoded; other columns are not archived; very long payloads are one value each; of equal
 payloads whose ids are all null, all are responses; a null id is smaller than any other; rows with
 the same id and payload are the same record written twice and get the same type.
 An empty table gives an empty archive.
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MIN_BYTES = 1000
+#: Records of one payload that are read together; more are dealt to several tasks.
+RECORDS_TOGETHER = 1 << 14
 #: Records carry this date, so that archives of the same pages are the same bytes.
 DATE = "1970-01-01T00:00:00Z"
 END = "\r\n"
@@ -42,7 +47,7 @@ def _record_name(page_id: Column) -> Column:
 def header_bytes(page_id: Column, url: Column, kind: Column, length: Column, digest: Column, refers_to: Column) -> Column:
     """The header of a WARC/1.1 record up to and with the empty line, as bytes."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(END))
-    safe_url = F.translate(F.coalesce(url, F.lit("")), END, "")
+    safe_url = F.replace(F.replace(F.coalesce(url, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     return F.concat(
         F.lit(f"WARC/1.1{END}"),
         line("WARC-Type", kind),
@@ -67,18 +72,19 @@ def write_archive(pages: DataFrame, *, page_id: str = "page_id", url: str = "url
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
     named = rows.withColumn("key", F.unhex(F.sha2("payload", 256)))
     store = materialize(
-        named.groupBy("key").agg(F.max("page_id").alias("last_id"), F.first("payload").alias("payload")).select("key", "last_id", F.length("payload").alias("stored_bytes"), "payload"), "warc-payloads"
+        named.groupBy("key").agg(F.max("page_id").alias("last_id"), F.first("payload").alias("payload"), F.count(F.lit(1)).alias("n")).select("key", "last_id", F.length("payload").alias("stored_bytes"), "payload", F.ceil(F.col("n") / RECORDS_TOGETHER).cast("int").alias("deals")), "warc-payloads"
     )
     meta = named.select("page_id", "url", "key", F.length("payload").cast("long").alias("length"), F.sha1("payload").alias("digest"))
-    last = store.where(F.col("stored_bytes") >= min_bytes).select("key", "last_id")
+    last = store.where((F.col("stored_bytes") >= min_bytes) | (F.col("deals") > 1)).select("key", F.when(F.col("stored_bytes") >= min_bytes, F.col("last_id")).alias("last_id"), "deals")
     known = meta.join(last, "key", "left")
+    deal = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("deals", F.lit(1))).cast("int")
     kind = F.when(F.col("last_id").isNull() | F.col("page_id").eqNullSafe(F.col("last_id")), F.lit("response")).otherwise(F.lit("revisit"))
-    headers = known.select("page_id", "key", header_bytes(F.col("page_id"), F.col("url"), kind, F.col("length"), F.col("digest"), F.col("last_id")).alias("header"))
+    headers = known.select("page_id", "key", deal.alias("deal"), header_bytes(F.col("page_id"), F.col("url"), kind, F.col("length"), F.col("digest"), F.col("last_id")).alias("header"))
     return Archive(store, materialize(headers, "warc-headers"))
 
 
 def _field(header: Column, name: str) -> Column:
-    return F.regexp_extract(header, f"(?m)^{name}: ([^\\r\\n]*)", 1)
+    return F.regexp_extract(header, f"(?md)^{name}: ([^\\r\\n]*)", 1)
 
 
 def read_archive(archive: Archive) -> DataFrame:
@@ -86,21 +92,28 @@ def read_archive(archive: Archive) -> DataFrame:
 
     Only responses carry the payload in their record; revisits check the one they refer to.
     """
-    text = F.col("header").cast("string")
-    stored = archive.payloads.select("key", "payload", "stored_bytes", F.sha1("payload").alias("stored_digest"))
-    joined = archive.headers.join(stored, "key").withColumns({"record_type": _field(text, "WARC-Type"), "payload_digest": F.substring(_field(text, "WARC-Payload-Digest"), 6, 40)})
+    stored = archive.payloads.select("key", "payload", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    joined = archive.headers.join(stored, ["key", "deal"]).withColumn("record_type", _field(F.col("header").cast("string"), "WARC-Type"))
+    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit("").cast("binary"))
+    joined = joined.withColumn("record", F.concat("header", body, F.lit(END * 2).cast("binary")))
+    # From here on the rebuilt record is parsed; a revisit's payload is that of the record it refers to.
+    whole = F.col("record").cast("string")
+    at = F.instr(whole, END * 2)
+    joined = joined.withColumn("head", F.substring(whole, F.lit(1), at + 1)).withColumn(
+        "body", F.when(_field(F.col("head"), "WARC-Type") == "response", F.substring(whole, at + 4, F.length(whole) - at - 7).cast("binary")).otherwise(F.col("payload"))
+    )
+    joined = joined.withColumns({"payload_digest": F.sha1("body"), "payload_bytes": F.octet_length("body").cast("long")})
+    text = F.col("head")
     stated = _field(text, "Content-Length").cast("long")
-    is_response = F.col("record_type") == "response"
-    good = (F.col("stored_digest") == F.col("payload_digest")) & (~is_response | (stated == F.col("stored_bytes")))
-    body = F.when(is_response, F.col("payload")).otherwise(F.lit("").cast("binary"))
-    record = F.concat("header", body, F.lit(END * 2).cast("binary"))
+    is_response = _field(text, "WARC-Type") == "response"
+    good = (F.concat(F.lit("sha1:"), F.col("payload_digest")) == _field(text, "WARC-Payload-Digest")) & (stated == F.when(is_response, F.col("payload_bytes")).otherwise(F.lit(0)))
     refers = F.regexp_extract(_field(text, "WARC-Refers-To"), "^<urn:page:(-?[0-9]+)>$", 1)
     own = F.regexp_extract(_field(text, "WARC-Record-ID"), "^<urn:page:(-?[0-9]+)>$", 1)
     number = lambda c: F.when(c != "", c).cast("long")
     return joined.select(
         number(own).alias("page_id"),
-        F.when(good, F.col("stored_bytes").cast("long")).otherwise(F.raise_error(F.lit("payload does not match the digest in its header")).cast("long")).alias("payload_bytes"),
-        "payload_digest", "record_type", number(refers).alias("refers_to"), record.alias("record"),
+        F.when(good, F.col("payload_bytes")).otherwise(F.raise_error(F.lit("payload does not match the digest in its header")).cast("long")).alias("payload_bytes"),
+        "payload_digest", _field(text, "WARC-Type").alias("record_type"), number(refers).alias("refers_to"), "record",
     )
 
 

@@ -84,3 +84,20 @@ def test_altered_payload_is_noticed(spark):
     changed = warc.Archive(archive.payloads.withColumn("payload", F.concat("payload", F.lit("x").cast("binary"))), archive.headers)
     with pytest.raises(Exception, match="does not match"):
         warc.read_archive(changed).collect()
+
+
+def test_odd_urls_and_a_payload_of_a_third_of_all_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_TOGETHER", 7)
+    urls = ["u\u2028WARC-Payload-Digest: sha1:zz", "u\u0085WARC-Refers-To: <urn:page:9>", "u\u2029WARC-Type: revisit", "u\r\nWARC-Type: revisit", "WARC-Type: revisit\r\n\r\n", None]
+    bodies = ["hot" * 500, "a\r\n\r\nb" * 200, "\u2028\u0085\r\nWARC-Type: revisit\r\n\r\n"]
+    rows = [(i, urls[i % len(urls)], bodies[0] if i % 3 == 0 else bodies[i % 3] + str(i % 5) * (i % 2)) for i in range(120)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    q = warc.op5_warc_archive(spark, str(tmp_path))
+    assert Counter(map(tuple, q.collect())) == Counter(con.execute(f"select {', '.join(q.columns)} from ({warc.OP5_SQL})").fetchall())
+    payload = {i: (h or "").encode() for i, _, h in rows}
+    for r in warc.read_archive(warc.write_archive(spark.read.parquet(f"{tmp_path}/pages.parquet"))).collect():
+        head, _, body = bytes(r["record"]).partition(b"\r\n\r\n")
+        assert body == (payload[r["page_id"]] if r["record_type"] == "response" else b"") + b"\r\n\r\n"
+        assert head.count(b"\r\n") == 7 + (r["record_type"] == "revisit")
