@@ -188,8 +188,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, *, block_wor
 
     Documents meet their place again by id, source and size; of rows alike in all three each
     takes the place of the same number, whichever that is: their places are interchangeable.
+    Documents without words go, as do empty tables' none; null ids and sources are values like others.
     """
-    own = {c: free_name(docs.columns, c) for c in ("__id", "__source", "__size", "__n", "place")}
+    own = {c: free_name(docs.columns, c) for c in ("__id", "__source", "__size", "__n", "place", "__p0", "__p1", "__p2", "__p3", "__text")}
     key = [own["__id"], own["__source"], own["__size"], own["__n"]]
     counted = docs.withColumns({own["__id"]: F.col("doc_id"), own["__source"]: F.col("source"), own["__size"]: F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")})
     alike = Window.partitionBy(*key[:3]).orderBy(*([F.xxhash64("text")] if "text" in docs.columns else [F.lit(0)]))
@@ -197,16 +198,16 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, *, block_wor
     sizes = counted.select(F.col(key[0]).alias("__id"), F.col(key[1]).alias("__source"), F.col(key[2]).alias("__size"))
     places = place(sizes, SEED, block_words, SHARD_WORDS, FAN_OUT, MAX_REPEATS).where("taken > 0")
     turn = Window.partitionBy("doc_id", "source", "size").orderBy("place")
-    places = places.withColumn("n", F.row_number().over(turn)).select(*(F.col(c).alias(f"__p{i}") for i, c in enumerate(("doc_id", "source", "size", "n"))), F.col("place").alias(own["place"]))
-    joined = numbered.join(places, [F.col(c).eqNullSafe(F.col(f"__p{i}")) for i, c in enumerate(key)])
+    places = places.withColumn("n", F.row_number().over(turn)).select(*(F.col(c).alias(own[f"__p{i}"]) for i, c in enumerate(("doc_id", "source", "size", "n"))), F.col("place").alias(own["place"]))
+    joined = numbered.join(places, [F.col(c).eqNullSafe(F.col(own[f"__p{i}"])) for i, c in enumerate(key)])
     p, text = F.col(own["place"]), text_or_empty()
     rounds = F.floor(p["q"] / p["K"]).cast("int")
     pieces = F.regexp_extract_all(text, F.lit(f"({SPACE_CLASS}*{WORD}{SPACE_CLASS}*)"), F.lit(1))
     part = F.array_join(F.filter(pieces, lambda x, i: selected(p, i, block_words) == 1), "")
     texts = F.filter(F.concat(F.array_repeat(text, rounds), F.array(part)), lambda t: t != "")
-    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
+    new = {"text": F.col(own["__text"]), "n_chars": F.length(own["__text"]).cast("long")}
     columns = [new[c].alias(c) if c in new else F.col(c) for c in docs.columns]
-    return joined.withColumn("__text", F.explode(texts)).select(*columns)
+    return joined.withColumn(own["__text"], F.explode(texts)).select(*columns)
 
 
 #: The same result in DuckDB's SQL, quotas included.

@@ -24,4 +24,4 @@ def awkward(df):
     """The same rows with more columns, whose names clash with those that operators add."""
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit(c) for c in ("n_words", "kept", "stats", "quality_verdict", "place", "__size", "text_hash", "node", "terms", "__text_hash", "rank", "host", "rule")})
+    return df.withColumns({c: F.lit(c) for c in ("n_words", "kept", "stats", "quality_verdict", "place", "__size", "text_hash", "node", "terms", "__text_hash", "rank", "host", "rule", "__i", "__h", "__p0", "__p3", "__text", "__n", "__id", "__hash", "__turn")})
