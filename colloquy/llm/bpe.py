@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import texts_in_small_batches
+
 #: Pieces, and pairs of the scalar encoder, that a worker remembers at most; when full, it starts anew.
 REMEMBERED = 150_000
 #: Pieces of more bytes go through the scalar encoder and are not remembered.
@@ -359,6 +361,7 @@ class TextEncoder:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False, ids: bool = True) -> DataFrame:
     """``keep`` columns with ``ids`` (array of int) and, with ``digests``, the count of the ids and the
     SHA-256 of the ids and of the decoded bytes, computed where the ids are."""
+    texts_in_small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern, Tables(ranks)))  # one vocabulary file, of fixed size
 
     def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

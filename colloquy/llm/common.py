@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -12,16 +13,29 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Used only where the session names no checkpoint folder, as in tests on one machine.
+#: Used only where the session names no checkpoint folder and runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/colloquy"
+#: Bytes of an Arrow batch of texts, where the session sets no other bound.
+BATCH_BYTES = 4 << 20
+DEFAULT_BATCH_BYTES = "67108864b"
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that every executor and the driver can reach: ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (root or LOCAL_CHECKPOINTS).rstrip("/")
 
 
+def texts_in_small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python steps get to ``BATCH_BYTES``, unless the session sets a bound
+    other than Spark's default; no result hangs on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == DEFAULT_BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 

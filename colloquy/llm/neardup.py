@@ -34,21 +34,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from . import packs
-from .common import discard, free_name, materialize, shuffle_partitions
+from .common import discard, free_name, materialize, shuffle_partitions, text_or_empty, texts_in_small_batches
 from .graphs import components
 
 WIDTH = 3
 TUPLES = 12
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Guests that are compared at once, and classes that pass them in one task.
-GUESTS, PASSING = 1024, 1024
+#: Guests that are compared at once, and classes that pass them in one task; and shingles of either.
+GUESTS, PASSING = 512, 512
+BLOCK_SHINGLES = 1 << 19
+#: Tasks that the members of one group are dealt to while they find their places.
+DEALS = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -102,22 +103,22 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, digests, texts, tuples = [], [], [], []
+            sizes, digests, tuples = [], [], []
             for t in b["text"]:
                 t = t.as_py()
                 s = shingles(t, words)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 tuples.append(tuple_hashes(s).tobytes() if len(s) else None)
-                texts.append(_text_hash(t))
-            made = [pa.array(texts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tuples, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *made], ["doc_id", "text_hash", "n_shingles", "digest", "tuples"])
+            made = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tuples, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], *made], ["doc_id", "text_hash", "n_shingles", "digest", "tuples"])
 
-    return docs.select("doc_id", "text").mapInArrow(measure, "doc_id long, text_hash long, n_shingles long, digest binary, tuples binary")
+    texts_in_small_batches(docs.sparkSession)
+    return docs.select("doc_id", text_hash(), "text").mapInArrow(measure, "doc_id long, text_hash long, n_shingles long, digest binary, tuples binary")
 
 
-def _text_hash(text: str | None) -> int:
-    return xxhash.xxh3_64_intdigest((text or "").encode()) - (1 << 63)
+def text_hash(text: str = "text") -> Column:
+    return F.xxhash64(text_or_empty(text)).alias("text_hash")
 
 
 def _id_key(doc_id: str = "doc_id") -> Column:
@@ -170,7 +171,7 @@ def _across(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("c1", "node") != F.coalesce("c2", "pivot")).select("node", "pivot")
 
 
-def _remaining_links(met: DataFrame, known: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+def _remaining_links(met: DataFrame, known: DataFrame, texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """All links (a, b) between classes that share a key and lie in different components, one at least
     for each class and component that are linked.
 
@@ -179,7 +180,8 @@ def _remaining_links(met: DataFrame, known: DataFrame, texts: DataFrame, words:
     written as differences from one member; for sets x and y with what they lack and add,
         |x & y| = |p| - lack(x) - lack(y) + shared,   |x | y| = |p| + add(x) + add(y) - shared,
     where ``shared`` counts the common differences, found in sorted arrays of the guests'.  Guests
-    come in blocks of bounded size and members stream past each block, so no pairs are listed.
+    come in blocks of bounded number and bounded shingles, and members stream past each block, so no
+    pairs are listed and a worker's memory has a bound.
     """
     own = known.select("node", F.col("component").alias("c1"))
     other = known.select(F.col("node").alias("pivot"), F.col("component").alias("group"))
@@ -188,15 +190,22 @@ def _remaining_links(met: DataFrame, known: DataFrame, texts: DataFrame, words:
     guests = across.select("group", "node", "component").distinct()
     chosen = across.groupBy("group", "pivot").agg(F.sum("times").alias("times")).groupBy("group").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("head"))
     members = known.select(F.col("component").alias("group"), "node").unionAll(guests.select("group", F.col("group").alias("node"))).distinct()
-    n_guests, n_members = guests.groupBy("group").agg(F.count(F.lit(1)).alias("n_guests")), members.groupBy("group").agg(F.count(F.lit(1)).alias("n_members"))
-    groups = n_guests.join(n_members, "group").where("n_guests > 1 OR n_members > 1").join(chosen, "group")
-    groups = groups.select("group", "head", F.ceil(F.col("n_guests") / GUESTS).cast("int").alias("blocks"), F.ceil((F.col("n_guests") + F.col("n_members")) / PASSING).cast("int").alias("salts"))
+    sizes = classes.select("node", "n_shingles")
+    measured = guests.select("group", "node", F.lit(1).alias("guest")).unionAll(members.select("group", "node", F.lit(0).alias("guest"))).join(sizes, "node")
+    counted = measured.groupBy("group").agg(
+        F.sum("guest").alias("n_guests"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"), F.sum(F.col("guest") * F.col("n_shingles")).alias("guest_shingles")
+    )
+    groups = counted.where("n_guests > 1 OR n > n_guests + 1").join(chosen, "group")
+    parts = lambda n, most, s: F.ceil(F.greatest(F.col(n) / most, F.col(s) / BLOCK_SHINGLES)).cast("int")
+    groups = groups.select("group", "head", parts("n_guests", GUESTS, "guest_shingles").alias("blocks"), parts("n", PASSING, "shingles").alias("salts"))
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     order = ["group", "block", "salt", "kind", "node", "component"]
     heads = groups.withColumn("block", every("blocks")).withColumn("salt", every("salts")).withColumn("node", F.col("head")).withColumn("component", F.col("group")).withColumn("kind", F.lit(0))
-    sitting = guests.join(groups, "group").withColumn("block", dealt("blocks")).withColumn("salt", every("salts")).withColumn("kind", F.lit(1))
-    passing = guests.unionByName(members.withColumn("component", F.col("group"))).join(groups, "group").withColumn("salt", dealt("salts")).withColumn("block", every("blocks")).withColumn("kind", F.lit(2))
+    spread = groups.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    placed = lambda rows: rows.withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(DEALS)).cast("int")).join(spread, ["group", "deal"])
+    sitting = placed(guests).withColumn("block", dealt("blocks")).withColumn("salt", every("salts")).withColumn("kind", F.lit(1))
+    passing = placed(guests.unionByName(members.withColumn("component", F.col("group")))).withColumn("salt", dealt("salts")).withColumn("block", every("blocks")).withColumn("kind", F.lit(2))
     places = heads.select(order).unionByName(sitting.select(order)).unionByName(passing.select(order))
     rows = places.join(texts, "node").repartition(shuffle_partitions(met.sparkSession), "group", "block", "salt").sortWithinPartitions("group", "block", "salt", "kind")
 
@@ -272,21 +281,13 @@ def _counting(n: np.ndarray) -> np.ndarray:
 def _classes(sets: DataFrame) -> DataFrame:
     """Texts with equal sets: digest, number, the least id, id and hash of a text of it, tuple hashes."""
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), _id_key().alias("id"), "text_hash"))
-    classes = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least_id"), one.alias("one"), F.first("tuples").alias("tuples"))
-    return classes.select("digest", "least_id", F.col("one.id").alias("id_key"), F.col("one.text_hash").alias("text_hash"), "tuples").withColumn("node", F.monotonically_increasing_id())
-
-
-def _with_text_hash(docs: DataFrame, name: str) -> DataFrame:
-    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_text_hash(t.as_py()) for t in b["text"]], pa.int64())], [*b.schema.names, name])
-
-    return docs.mapInArrow(hashed, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    classes = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least_id"), one.alias("one"), F.first("tuples").alias("tuples"), F.first("n_shingles").alias("n_shingles"))
+    return classes.select("digest", "n_shingles", "least_id", F.col("one.id").alias("id_key"), F.col("one.text_hash").alias("text_hash"), "tuples").withColumn("node", F.monotonically_increasing_id())
 
 
 def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """A text of each class; equal rows give it repeatedly."""
-    rows = _with_text_hash(docs.select("doc_id", "text"), "text_hash").withColumn("id_key", _id_key())
+    rows = docs.select("doc_id", "text", text_hash()).withColumn("id_key", _id_key())
     return rows.join(classes.select("node", "id_key", "text_hash"), ["id_key", "text_hash"]).select("node", "text")
 
 
@@ -304,7 +305,7 @@ def link_documents(docs: DataFrame, *, words: int, percent: int = PERCENT) -> Da
     texts = materialize(_texts(docs, classes.join(candidates, "node", "left_semi")), "texts")
     best = met.groupBy("node").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("pivot"))
     known = materialize(components(_confirmed(best, texts, words, salts)), "components")
-    for step in (lambda k: _confirmed(_across(met.select("node", "pivot"), k), texts, words, salts), lambda k: _remaining_links(met, k, texts, words)):
+    for step in (lambda k: _confirmed(_across(met.select("node", "pivot"), k), texts, words, salts), lambda k: _remaining_links(met, k, texts, classes, words)):
         known = materialize(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(step(known))), "components")
     discard(texts)
     discard(met)
@@ -342,7 +343,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     links = link_documents(docs, words=5)
     own = {c: free_name(docs.columns, c) for c in ("__hash", "__id", "__turn", "__kept", "__size")}
     decided = links.groupBy(_id_key().alias(own["__id"]), F.col("text_hash").alias(own["__hash"])).agg(F.max("kept").alias(own["__kept"]), F.max("n_shingles").alias(own["__size"]))
-    rows = _with_text_hash(docs, own["__hash"]).withColumn(own["__id"], _id_key()).join(decided, [own["__id"], own["__hash"]])
+    rows = docs.withColumn(own["__hash"], text_hash()).withColumn(own["__id"], _id_key()).join(decided, [own["__id"], own["__hash"]])
     turn = F.row_number().over(Window.partitionBy(own["__id"], own["__hash"]).orderBy(own["__hash"]))
     left = rows.where(F.col(own["__kept"]) | (F.col(own["__size"]) == 0)).withColumn(own["__turn"], turn)
     return left.where((F.col(own["__turn"]) == 1) | (F.col(own["__size"]) == 0)).select(*docs.columns)
