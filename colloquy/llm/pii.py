@@ -18,7 +18,8 @@ and a third finds all places of those that disclose; they are recognised by a bi
 more counted word).  Counts and joins are by hash, pre-aggregated; texts are not shuffled.
 
 Defined edge cases: null text is empty; repeated rows count as documents and get the same spans;
-an entity that is in every document discloses nothing; an empty table gives no rows.
+an entity that is in every document discloses nothing; an empty table gives no rows; very long texts
+are scanned whole, one at a time; columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import packs
-from .common import free_name, materialize
+from .common import discard, free_name, materialize, text_or_empty, texts_in_small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 8
@@ -139,10 +140,10 @@ def free_terms(text: str, spans: list[tuple[str, int, int]]) -> list[re.Match]:
 
 def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
     """Terms near each entity; a row with term 0 for each entity, once.  ``first`` marks the first of
-    equal (entity, term) in the document."""
+    equal (entity, term) in the document, ``fresh`` that of equal terms."""
     terms = free_terms(text, spans)
     places = [m.start() for m in terms]
-    out, seen = [], set()
+    out, seen, fresh = [], set(), set()
     for kind, a, b in spans:
         entity = _hash(f"{kind}:{text[a:b].lower()}")
         at = bisect_left(places, a)
@@ -150,15 +151,16 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
         context = _hash(" ".join(m[0].lower() for m in near))
         if (entity, 0) not in seen:
             seen.add((entity, 0))
-            out.append({"entity": entity, "term": 0, "context": 0, "first": 1, "start": a, "end": b})
+            out.append({"entity": entity, "term": 0, "context": 0, "first": 1, "fresh": 0})
         for m in near:
             term = _hash(m[0].lower())
-            out.append({"entity": entity, "term": term, "context": context, "first": int((entity, term) not in seen), "start": m.start(), "end": m.end()})
+            out.append({"entity": entity, "term": term, "context": context, "first": int((entity, term) not in seen), "fresh": int(term not in fresh)})
             seen.add((entity, term))
+            fresh.add(term)
     return out
 
 
-_MENTION = "array<struct<entity:long,term:long,context:long,first:int,start:int,end:int>>"
+_MENTION = "array<struct<entity:long,term:long,context:long,first:int,fresh:int>>"
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -171,17 +173,21 @@ def find(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(target)
         for b in batches:
-            rows = {"text_hash": [], "base": [], "n": [], "near": []}
+            rows = {"base": [], "n": [], "near": []}
             for t in b["text"]:
                 text = t.as_py() or ""
                 spans = base_spans(text)
-                rows["text_hash"].append(_hash(text))
                 rows["base"].append(spans_text(spans))
                 rows["n"].append([sum(k == kind for k, _, _ in spans) for kind in KINDS])
                 rows["near"].append(mentions(text, spans) if spans else [])
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"]} | rows, schema=arrow)
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "text_hash": b["text_hash"]} | rows, schema=arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, target)
+    texts_in_small_batches(docs.sparkSession)
+    return docs.select("doc_id", text_hash(), "text").mapInArrow(scan, target)
+
+
+def text_hash() -> Column:
+    return F.xxhash64(text_or_empty()).alias("text_hash")
 
 
 def _bit(h: np.ndarray) -> np.ndarray:
@@ -262,12 +268,18 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     entities = near.where("term = 0").groupBy("entity").agg(F.sum("first").alias("n_e"))
     pairs = near.where("term <> 0").groupBy("entity", "term", "context").agg(F.sum("first").alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("n_et"))
-    pairs = materialize(pairs, "pairs")
-    counts = document_counts(docs, pairs.select("term").distinct())
     content = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
-    share = lower_share(F.col("n_et") / F.greatest("n_t", "n_et"), F.col("support"))
-    disclosure = F.when(content > 0, 1 + F.log(share) / content).otherwise(F.lit(0.0))
-    return pairs.join(entities, "entity").join(counts, "term").withColumn("disclosure", disclosure).where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
+
+    def disclosure(n_t: str) -> Column:
+        share = lower_share(F.col("n_et") / F.greatest(n_t, "n_et"), F.col("support"))
+        return F.when(content > 0, 1 + F.log(share) / content).otherwise(F.lit(0.0))
+
+    # A term is in no fewer documents than those that show it near any entity, and disclosure falls with
+    # that number, so pairs below the threshold by this count can't reach it by the full one.
+    beside = near.where("term <> 0").groupBy("term").agg(F.sum("fresh").alias("n_near"))
+    pairs = materialize(pairs.join(entities, "entity").join(beside, "term").where(disclosure("n_near") >= GENERALISE), "pairs")
+    counts = document_counts(docs, pairs.select("term").distinct())
+    return pairs.join(counts, "term").withColumn("disclosure", disclosure("n_t")).where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -280,47 +292,55 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
         table = np.unpackbits(shared.value).astype(bool)
         for b in batches:
             rows = {"doc_id": [], "text_hash": [], "term": [], "start": [], "end": []}
-            for i, t in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
+            for i, own, t in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), b["text"], strict=True):
                 text = t.as_py() or ""
                 words = list({x.lower() for x in _TERM.findall(text)})
                 h = np.array([_hash(x) for x in words], dtype=np.int64)
                 hits = {words[k]: int(h[k]) for k in np.flatnonzero(table[_bit(h)])}
                 for m in free_terms(text, base_spans(text)) if hits else ():
                     if m[0].lower() in hits:
-                        for name, x in zip(rows, (i, _hash(text), hits[m[0].lower()], m.start(), m.end()), strict=True):
+                        for name, x in zip(rows, (i, own, hits[m[0].lower()], m.start(), m.end()), strict=True):
                             rows[name].append(x)
             yield pa.RecordBatch.from_pydict({n: pa.array(x, pa.int32() if n in ("start", "end") else pa.int64()) for n, x in rows.items()})
 
-    places = docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, text_hash long, term long, start int, end int").distinct()
+    places = docs.select("doc_id", text_hash(), "text").mapInArrow(scan, "doc_id long, text_hash long, term long, start int, end int").distinct()
     return places.join(known, "term").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
 
 
-def _same_document(other: DataFrame, doc_id: str = "doc_id", text_hash: str = "text_hash") -> tuple[DataFrame, list]:
-    named = other.select(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__h"), "terms")
-    return named, [F.col(doc_id).eqNullSafe(F.col("__i")), F.col(text_hash) == F.col("__h")]
-
-
 def analyse(docs: DataFrame) -> DataFrame:
     """A row for each document: id, counts, ``base`` and ``terms`` (start, end, disclosure)."""
     found = materialize(find(docs), "pii")
-    spans, same = _same_document(materialize(term_spans(docs, materialize(disclosing_terms(docs, found), "disclosing")), "terms"))
-    return found.join(spans, same, "left").drop("__i", "__h", "near")
+    spans = _treated(docs, found).select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), "terms")
+    return found.join(spans, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")), "left").drop("i", "h", "near")
+
+
+def _treated(docs: DataFrame, found: DataFrame) -> DataFrame:
+    disclosing = materialize(disclosing_terms(docs, found), "disclosing")
+    spans = materialize(term_spans(docs, disclosing), "terms")
+    discard(disclosing)
+    return spans
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = analyse(docs)
-    extra = F.array_join(F.transform(F.coalesce("terms", F.array()), lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"])), ",")
+    kind = lambda t: F.when(t["disclosure"] >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise"))
+    extra = F.array_join(F.transform(F.coalesce("terms", F.array()), lambda t: F.concat_ws(":", kind(t), t["start"], t["end"])), ",")
     return rows.select(
         "doc_id", *(F.get("n", F.lit(k)).alias(f"n_{kind}") for k, kind in enumerate(KINDS)), F.sha2("base", 256).alias("base_sha256"),
         F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(extra != "", extra)).alias("spans"),
     )
 
 
+def kind_of(term: str) -> str:
+    """What a generalised term becomes: a code if it holds a digit, a name if it starts upper-case, else a word."""
+    return "[CODE]" if _DIGIT.search(term) else "[NAME]" if term[0].isupper() else "[WORD]"
+
+
 def sanitise(text: str, terms: Iterable[tuple[int, int, float]] = ()) -> str:
-    """The text with entities as ``[KIND]``, terms as ``[NAME]`` or ``[WORD]``, or without them."""
+    """The text with entities as ``[KIND]``, terms as their kind by :func:`kind_of`, or without them."""
     spans = [(a, b, f"[{k.upper()}]") for k, a, b in base_spans(text)]
-    spans += [(a, b, "" if d >= REMOVE else "[NAME]" if text[a].isupper() else "[WORD]") for a, b, d in terms]
+    spans += [(a, b, "" if d >= REMOVE else kind_of(text[a:b])) for a, b, d in terms]
     out, end = [], 0
     for a, b, put in sorted(spans, key=lambda s: (s[0], -s[1])):
         if a < end:  # overlapping spans go as one, under the first one's name
@@ -332,21 +352,14 @@ def sanitise(text: str, terms: Iterable[tuple[int, int, float]] = ()) -> str:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts are sanitised and ``n_chars`` follows; no document goes, columns stay, null texts stay null."""
-    from pyspark.sql.types import LongType, StructField, StructType
-
+    """Pipeline stage: texts are sanitised and ``n_chars`` follows; no document goes, columns stay whatever
+    their names, null texts stay null, an empty table gives no rows."""
     ids = docs.select("doc_id", "text")
     found = materialize(find(ids), "pii")
-    spans, _ = _same_document(materialize(term_spans(ids, materialize(disclosing_terms(ids, found), "disclosing")), "terms"))
-    own, own_terms = free_name(docs.columns, "__text_hash"), free_name(docs.columns, "terms")
-    spans = spans.withColumnRenamed("terms", own_terms)
-
-    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_hash(t.as_py() or "") for t in b["text"]], pa.int64())], [*b.schema.names, own])
-
-    rows = docs.mapInArrow(hashed, StructType([*docs.schema.fields, StructField(own, LongType())]))
-    known = rows.join(spans, [F.col("doc_id").eqNullSafe(F.col("__i")), F.col(own) == F.col("__h")], "left").drop("__i", "__h", own)
+    own, own_id, own_terms = (free_name(docs.columns, c) for c in ("__text_hash", "__id", "terms"))
+    spans = _treated(ids, found).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own), F.col("terms").alias(own_terms))
+    discard(found)
+    known = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(own_id)) & (text_hash() == F.col(own)), "left")
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
