@@ -1,16 +1,18 @@
 """Approximate nearest neighbours by largest inner product: NN-descent and greedy graph search.
 
-Equal vectors are one node.  The graph starts from the best of random blocks and gets better by
-rounds of joins until few list entries change: each node sends its vector to the neighbours it lists; all nodes that meet at a
-node are neighbours of a neighbour, are compared there, and send what they found to one another.
+Equal vectors are one node.  The graph starts from the best of random blocks and gets
+better by rounds of joins until few list entries change: each node sends its vector to the
+neighbours it lists; all nodes that meet at a node are neighbours of a neighbour, are compared
+there, and send what they found to one another.
 For searching, a node's edges lead to the nodes that list it, so every node can be reached from
 each of its own neighbours.
 
 A query keeps a pool of the best nodes seen.  In each round it sends its vector to the best nodes
 of the pool that it hasn't asked yet; they answer with the scores of their edges; it ends when all
 of the pool have been asked.  Then the neighbours of ``SAMPLED`` queries are found by a full scan;
-while their pools hold less than ``RECALL`` of those, all pools double and ask again.  Edges with vectors lie hash-partitioned and persisted (recomputed if
-an executor is lost), so only questions and answers move.  Vectors travel as 32-bit floats
+while their pools hold less than ``RECALL`` of those, all pools double and ask again.  Edges with
+vectors lie hash-partitioned and persisted (recomputed if an executor is lost), so only questions
+and answers move.  Vectors travel as 32-bit floats
 and are compared in double precision; the best of the pool, with all within ``ROUNDING`` of the
 last one asked for, are scored again by the defined order of sums.
 
@@ -20,7 +22,8 @@ makes a large group.
 
 Defined edge cases: vectors that are null, zero, or hold a null, NaN or infinity take no part, nor
 do null ids or vectors of another length than most have.  Rows alike in id and vector count once.
-With fewer candidates than asked for, all are returned; an empty table gives no rows.
+With fewer candidates than asked for, all are returned; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -44,10 +47,11 @@ TOLD = 16
 EDGES = 256
 BLOCK = 1024
 PASSES = 2
-#: Rounds before changes are looked at; rounds end when this share of list entries changes at most.
-ROUNDS = 4
+#: Rounds at least; rounds end when this share of list entries changes at most.
+ROUNDS = 1
 DELTA = 0.02
-#: Nodes in a pool at first; it grows by measured recall.
+#: Nodes that a search starts from, and nodes in a pool at first; it grows by measured recall.
+ENTRIES = 64
 POOL = 640
 ASKED = 160
 RESCORED = 64
@@ -251,7 +255,7 @@ def build_graph(singles: DataFrame, count: int) -> DataFrame:
     for k in range(1, PASSES if blocks > 1 else 1):
         news = news.unionByName(_block_lists(singles, blocks, k, parts))
     state = materialize(_merged(singles, news, parts), "graph")
-    r, moving = 0, blocks > 1
+    r, moving = 0, count > 1
     while moving:
         r += 1
         after = materialize(descend(state, r, parts), "graph")
@@ -413,7 +417,7 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
     edges = search_edges(state, parts).repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
     asking = rows.where(F.col("vec_id") % every == 0).distinct().join(classes.select("node", F.col("embedding")), "embedding").select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
     asking = materialize(asking, "asking")
-    entries = singles.orderBy(F.xxhash64("node"), "node").limit(POOL).collect()
+    entries = singles.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()
     pools = materialize(_start(asking.select("query").distinct().join(singles.withColumnRenamed("node", "query"), "query"), (np.array([r["node"] for r in entries], dtype=np.int64), _vectors([r["vec"] for r in entries]) if entries else np.zeros((0, 1), dtype=np.float64)), POOL), "pools")
     true, pool = true_neighbours(classes, asking), POOL
     while True:
