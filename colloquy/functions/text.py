@@ -77,14 +77,16 @@ def join_acronyms(text: Column) -> Column:
     """Spelled letters with underscores become one word: ``L_C_D_`` is ``LCD``.
 
     A spelling is a whole word of single capitals with underscores between, perhaps an ``s`` and an
-    underscore at its end (up to 200 letters).  Look-behind finds its underscores one by one, the
-    last one first, so no function has to rebuild the match.
+    underscore at its end, of any length.  The text is cut at its spellings, which lose their
+    underscores and are put back; texts without an underscore are left alone.
     """
-    spelled = r"\b[A-Z](?:_[A-Z])"
-    inner = F.regexp_replace(text, rf"(?U)(?<={spelled}{{1,200}}s?)_(?!\w)", "")
-    inner = F.regexp_replace(inner, rf"(?U)(?<={spelled}{{0,200}})_(?=[A-Z](?:_[A-Z])*s?(?!\w))", "")
+    spelled = r"(?U)\b[A-Z](?:_[A-Z])+s?_?\b"
+    found = F.transform(F.regexp_extract_all(text, F.lit(spelled), F.lit(0)), lambda x: F.translate(x, "_", ""))
+    between = F.split(text, spelled, -1)
+    inner = F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     inner = F.regexp_replace(inner, r"(?U)\b([A-Z])_(?=[A-Za-z])", "$1")
-    return F.regexp_replace(inner, r"(?U)\b([A-Z])_(?=\W|$)", "$1")
+    inner = F.regexp_replace(inner, r"(?U)\b([A-Z])_(?=\W|$)", "$1")
+    return F.when(F.contains(text, F.lit("_")), inner).otherwise(text)
 
 
 def strip_markup(text: Column) -> Column:
@@ -134,14 +136,31 @@ def _plain_letters(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\p{Mn}+", ""), r"[\p{M}\p{S}\p{P}&&[^.%$¢€£']]", " ")
 
 
-#: Languages by code.  Fixed values; :func:`language_code` takes any other table.
-LANGUAGES = {"en": "english", "de": "german", "fr": "french", "es": "spanish", "it": "italian", "pt": "portuguese", "nl": "dutch", "ja": "japanese", "zh": "chinese", "ru": "russian", "ko": "korean", "pl": "polish"}
-
-
-def language_code(value: Column, table: dict[str, str] = LANGUAGES) -> Column:
+#: Languages of the public speech models by code.  Fixed values; :func:`language_code` takes any other table.
+LANGUAGES = {
+    "en": "english", "zh": "chinese", "de": "german", "es": "spanish", "ru": "russian", "ko": "korean", "fr": "french", "ja": "japanese", "pt": "portuguese", "tr": "turkish",
+    "pl": "polish", "ca": "catalan", "nl": "dutch", "ar": "arabic", "sv": "swedish", "it": "italian", "id": "indonesian", "hi": "hindi", "fi": "finnish", "vi": "vietnamese",
+    "he": "hebrew", "uk": "ukrainian", "el": "greek", "ms": "malay", "cs": "czech", "ro": "romanian", "da": "danish", "hu": "hungarian", "ta": "tamil", "no": "norwegian",
+    "th": "thai", "ur": "urdu", "hr": "croatian", "bg": "bulgarian", "lt": "lithuanian", "la": "latin", "mi": "maori", "ml": "malayalam", "cy": "welsh", "sk": "slovak",
+    "te": "telugu", "fa": "persian", "lv": "latvian", "bn": "bengali", "sr": "serbian", "az": "azerbaijani", "sl": "slovenian", "kn": "kannada", "et": "estonian", "mk": "macedonian",
+    "br": "breton", "eu": "basque", "is": "icelandic", "hy": "armenian", "ne": "nepali", "mn": "mongolian", "bs": "bosnian", "kk": "kazakh", "sq": "albanian", "sw": "swahili",
+    "gl": "galician", "mr": "marathi", "pa": "punjabi", "si": "sinhala", "km": "khmer", "sn": "shona", "yo": "yoruba", "so": "somali", "af": "afrikaans", "oc": "occitan",
+    "ka": "georgian", "be": "belarusian", "tg": "tajik", "sd": "sindhi", "gu": "gujarati", "am": "amharic", "yi": "yiddish", "lo": "lao", "uz": "uzbek", "fo": "faroese",
+    "ht": "haitian creole", "ps": "pashto", "tk": "turkmen", "nn": "nynorsk", "mt": "maltese", "sa": "sanskrit", "lb": "luxembourgish", "my": "myanmar", "bo": "tibetan", "tl": "tagalog",
+    "mg": "malagasy", "as": "assamese", "tt": "tatar", "haw": "hawaiian", "ln": "lingala", "ha": "hausa", "ba": "bashkir", "jw": "javanese", "su": "sundanese", "yue": "cantonese",
+}
+#: Further names.  Fixed values.
+LANGUAGE_NAMES = {
+    "burmese": "my", "valencian": "ca", "flemish": "nl", "haitian": "ht", "letzeburgesch": "lb", "pushto": "ps", "panjabi": "pa", "moldavian": "ro", "moldovan": "ro", "sinhalese": "si",
+    "castilian": "es", "mandarin": "zh",
+}
+
+
+def language_code(value: Column, table: dict[str, str] = LANGUAGES, names: dict[str, str] = LANGUAGE_NAMES) -> Column:
     """Null for blank or ``auto``; else the code for a code or name; an unknown one is an error."""
     raw = F.lower(F.trim(F.coalesce(value, F.lit(""))))
-    known = F.create_map(*(F.lit(x) for code, name in table.items() for x in (code, code, name, code)))
+    codes = {c: c for c in table} | {name: c for c, name in table.items()} | {name: c for name, c in names.items() if c in table}
+    known = F.create_map(*(F.lit(x) for pair in codes.items() for x in pair))
     return F.when(raw.isin("", "auto"), F.lit(None).cast("string")).otherwise(F.coalesce(F.element_at(known, raw), F.raise_error(F.concat(F.lit("unsupported language: "), raw)).cast("string")))
 
 

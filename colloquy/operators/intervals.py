@@ -87,12 +87,24 @@ def mask_words(segments: DataFrame, spans: DataFrame) -> DataFrame:
     """
     listed = spans.groupBy("meeting_id").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
     known = segments.join(listed, "meeting_id", "left").withColumn("__spans", F.coalesce("__spans", F.array()))
-    known = known.withColumn("__words", words_of(F.col("text")))
-    words, count = F.col("__words"), F.size("__words")
-    meets = F.exists("__spans", lambda s: (F.col("start") < s["end"]) & (F.col("end") > s["start"]))
-    step = (F.col("end") - F.col("start")) / F.nullif(count, F.lit(0))
-    free = lambda w, i: ~F.exists("__spans", lambda s: (F.col("start") + (i + 0.5) * step).between(s["start"], s["end"]))
-    left = F.when(F.coalesce(~meets, F.lit(True)) | (count == 0), words).when(F.col("end") <= F.col("start"), F.array().cast("array<string>")).otherwise(F.filter(words, free))
-    known = known.withColumn("__left", left)
-    changed = F.size("__left") < count
-    return known.where((F.size("__left") > 0) | (count == 0)).withColumn("text", F.when(changed, F.array_join("__left", " ")).otherwise(F.col("text"))).drop("__spans", "__words", "__left")
+    met = F.filter("__spans", lambda s: F.coalesce((F.col("start") < s["end"]) & (F.col("end") > s["start"]), F.lit(False)))
+    # Each value that later ones use again is the one element of an array, so it is computed once a row.
+    bound = F.transform(F.array(F.struct(met.alias("met"), words_of(F.col("text")).alias("words"))), _left_words)
+    known = known.withColumn("__left", bound[0])
+    left = F.col("__left")
+    return known.where(left["stays"]).withColumn("text", F.when(left["changed"], left["text"]).otherwise(F.col("text"))).drop("__spans", "__left")
+
+
+def _left_words(b: Column) -> Column:
+    """(stays, changed, text) from the words of a segment and the spans ``met`` that it shares time with."""
+    words, count = b["words"], F.size(b["words"])
+    step = F.array(F.struct(((F.col("end") - F.col("start")) / F.nullif(count, F.lit(0))).alias("x")))
+
+    def masked(s: Column) -> Column:
+        middle = lambda i: F.col("start") + (i + 0.5) * s["x"]
+        return F.filter(words, lambda w, i: ~F.exists(b["met"], lambda span: middle(i).between(span["start"], span["end"])))
+
+    some = F.when(F.col("end") <= F.col("start"), F.array().cast("array<string>")).otherwise(F.transform(step, masked)[0])
+    left = F.when((F.size(b["met"]) == 0) | (count == 0), words).otherwise(some)
+    told = lambda x: F.struct(((F.size(x) > 0) | (count == 0)).alias("stays"), (F.size(x) < count).alias("changed"), F.array_join(x, " ").alias("text"))
+    return F.transform(F.array(left), told)[0]

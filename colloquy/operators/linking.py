@@ -200,7 +200,7 @@ class Meeting:
         return max([1, self.options.fewest_speakers, *per.values()])
 
     def cap(self) -> int:
-        return c.MOST_SPEAKERS if self.options.most_speakers is None else max(1, int(self.options.most_speakers))
+        return c.MOST_SPEAKERS if self.options.most_speakers is None else min(c.MOST_SPEAKERS, max(1, int(self.options.most_speakers)))
 
     def absorb(self, x: np.ndarray, labels: np.ndarray) -> np.ndarray:
         """Clusters of too little speech join the nearest one that has enough."""

@@ -74,7 +74,7 @@ def v_node(spark: SparkSession, d: str) -> DataFrame:
 def v_pair(spark: SparkSession, d: str) -> DataFrame:
     """Witness pairs of nodes with nodes of a made-up second pass."""
     k = F.col("vec_id")
-    return _table(spark, d, "embeddings").where("vec_id % 3 <> 0").select(
+    return _table(spark, d, "embeddings").select(
         F.floor(k / 25).cast("string").alias("meeting_id"), F.floor((k % 25) / 5).cast("int").alias("ci_a"), (k % 5 + 1).cast("int").alias("l_a"),
         F.floor((k % 25) / 9).cast("int").alias("ci_b"), (k % 4 + 1).cast("int").alias("l_b"), ((k * 13 % 50) / 10.0 + 0.5).alias("co_s"),
     )
@@ -97,7 +97,7 @@ node AS (
 ),
 pair AS (
   SELECT (vec_id // 25)::VARCHAR AS meeting_id, ((vec_id % 25) // 5)::INT AS ci_a, (vec_id % 5 + 1)::INT AS l_a, ((vec_id % 25) // 9)::INT AS ci_b, (vec_id % 4 + 1)::INT AS l_b, (vec_id * 13 % 50) / 10.0::DOUBLE + 0.5::DOUBLE AS co_s
-  FROM embeddings WHERE vec_id % 3 <> 0
+  FROM embeddings
 ),
 centre AS (
   SELECT meeting_id, gid, list(x ORDER BY i) AS c FROM (
@@ -254,8 +254,8 @@ def window_overlap_co_time(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def witness_pairs(spark: SparkSession, d: str) -> DataFrame:
-    none = spark.createDataFrame([], "meeting_id string, ci int, lspk int, concat_emb array<double>")
-    return linking.witness_pairs(_co(spark, d), none, none)
+    nodes = v_node(spark, d)
+    return linking.witness_pairs(_co(spark, d), nodes, nodes)
 
 
 @query("""SELECT meeting_id, lspk, round(start, 2) AS start, round("end", 2) AS "end", is_clean FROM (
@@ -492,9 +492,9 @@ def scored_meetings(spark: SparkSession, d: str) -> DataFrame:
 
 def _word_cases(spark: SparkSession, d: str) -> DataFrame:
     """Turns as cases: A lacks a run of words that B has; times are even.  Words without capital
-    letters in their key are left out on both sides."""
+    letters in their key are left out on both sides; a turn without any gives no case."""
     words = F.filter(t.words_of(F.col("text")), lambda w: t.word_key(w) != "")
-    rows = v_seg(spark, d).withColumn("w", words).where(F.size("w") >= 12).withColumn("lo", F.floor(F.size("w") / 2).cast("int"))
+    rows = v_seg(spark, d).withColumn("w", words).where(F.size("w") > 0).withColumn("lo", F.floor(F.size("w") / 2).cast("int"))
     at = lambda i: F.col("start") + i * 0.3
 
     def word(x: Column, i: Column, node: str, speaker: Column) -> Column:
@@ -502,7 +502,7 @@ def _word_cases(spark: SparkSession, d: str) -> DataFrame:
 
     b = F.transform("w", lambda x, i: word(x, i, "B:0:1", F.lit(None).cast("string")))
     a = F.filter(F.transform("w", lambda x, i: F.struct(word(x, i, "A:0:1", F.col("speaker")).alias("w"), i.alias("i"))), lambda x: (x["i"] < F.col("lo")) | (x["i"] >= F.col("lo") + 3))
-    return rows.select(F.concat_ws(":", "meeting_id", "seg_idx").alias("case_id"), (at(F.col("lo")) - 0.05).alias("gap_start"), (at(F.col("lo") + 2) + 0.17).alias("gap_end"), F.transform(a, lambda x: x["w"]).alias("a"), b.alias("b"), "lo", (F.col("lo") + 3).alias("hi"))
+    return rows.select(F.concat_ws(":", "meeting_id", "seg_idx").alias("case_id"), (at(F.col("lo")) - 0.05).alias("gap_start"), (at(F.col("lo") + 2) + 0.17).alias("gap_end"), F.transform(a, lambda x: x["w"]).alias("a"), b.alias("b"), "lo", F.least(F.col("lo") + 3, F.size("w")).alias("hi"))
 
 
 @query()
