@@ -10,7 +10,8 @@ each of its own neighbours.
 A query keeps a pool of the best nodes seen.  In each round it sends its vector to the best nodes
 of the pool that it hasn't asked yet; they answer with the scores of their edges; it ends when all
 of the pool have been asked.  Then the neighbours of ``SAMPLED`` queries are found by a full scan;
-while their pools hold less than ``RECALL`` of those, all pools double and ask again.  Edges with
+while their pools hold less than ``RECALL`` of those, the search starts anew from twice the entries
+with twice the pool.  Edges with
 vectors lie hash-partitioned and persisted (recomputed if an executor is lost), so only questions
 and answers move.  Vectors travel as 32-bit floats
 and are compared in double precision; the best of the pool, with all within ``ROUNDING`` of the
@@ -50,8 +51,7 @@ PASSES = 2
 #: Rounds at least; rounds end when this share of list entries changes at most.
 ROUNDS = 1
 DELTA = 0.02
-#: Nodes that a search starts from, and nodes in a pool at first; it grows by measured recall.
-ENTRIES = 64
+#: Nodes that a search starts from, and nodes in a pool, at first; both grow by measured recall.
 POOL = 640
 ASKED = 160
 RESCORED = 64
@@ -361,17 +361,6 @@ def _unfinished(pools: DataFrame) -> int:
     return pools.select("asked").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def _reopened(pools: DataFrame) -> DataFrame:
-    """The pools with nothing asked, as nodes may have been left out for want of room."""
-
-    def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            asked = [bytes(len(a)) for a in b["asked"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("query", "vec", "ids", "scores")), pa.array(asked, pa.binary())], ["query", "vec", "ids", "scores", "asked"])
-
-    return pools.mapInArrow(again, _POOL)
-
-
 def true_neighbours(classes: DataFrame, queries: DataFrame) -> dict[int, set[int]]:
     """The best other nodes of ``SAMPLED`` queries by hash, from a full scan."""
     rows = queries.select("query").distinct().orderBy(F.xxhash64("query"), "query").limit(SAMPLED)
@@ -417,8 +406,14 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
     edges = search_edges(state, parts).repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
     asking = rows.where(F.col("vec_id") % every == 0).distinct().join(classes.select("node", F.col("embedding")), "embedding").select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
     asking = materialize(asking, "asking")
-    entries = singles.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()
-    pools = materialize(_start(asking.select("query").distinct().join(singles.withColumnRenamed("node", "query"), "query"), (np.array([r["node"] for r in entries], dtype=np.int64), _vectors([r["vec"] for r in entries]) if entries else np.zeros((0, 1), dtype=np.float64)), POOL), "pools")
+    queries = asking.select("query").distinct().join(singles.withColumnRenamed("node", "query"), "query")
+
+    def opened(size: int) -> DataFrame:
+        entries = singles.orderBy(F.xxhash64("node"), "node").limit(size).collect()
+        x = _vectors([r["vec"] for r in entries]) if entries else np.zeros((0, 1), dtype=np.float64)
+        return materialize(_start(queries, (np.array([r["node"] for r in entries], dtype=np.int64), x), size), "pools")
+
+    pools = opened(POOL)
     true, pool = true_neighbours(classes, asking), POOL
     while True:
         while _unfinished(pools):
@@ -428,10 +423,9 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
             _free_shuffles(spark)
         if pool >= count or _recall(pools, true) >= RECALL:
             break
-        pool *= 2
-        after = materialize(_reopened(pools), "pools")
+        pool *= 2  # clusters without an edge between them are found only from entries of their own
         discard(pools)
-        pools = after
+        pools = opened(pool)
     edges.unpersist()
     discard(state)
     return _ranked(pools, classes, asking)
