@@ -48,7 +48,7 @@ PERCENT = 80
 #: Guests that are compared at once, and classes that pass them in one task; and shingles of either.
 GUESTS, PASSING = 512, 512
 BLOCK_SHINGLES = 1 << 19
-#: Tasks that the members of one group are dealt to while they find their places.
+#: Tasks that the members of one group are dealt to while they find their places or their least id.
 DEALS = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -309,9 +309,11 @@ def link_documents(docs: DataFrame, *, words: int, percent: int = PERCENT) -> Da
         known = materialize(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(step(known))), "components")
     discard(texts)
     discard(met)
-    named = classes.join(known, "node", "left").select("digest", "least_id", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    ids = named.join(least, "component").select("digest", "component_id")
+    deal = F.pmod(F.xxhash64("digest"), F.lit(DEALS)).cast("int").alias("deal")
+    named = classes.join(known, "node", "left").select("digest", "least_id", deal, F.col("component").isNotNull().alias("grouped"), F.coalesce("component", "node").alias("component"))
+    least = named.where("grouped").groupBy("component").agg(F.min("least_id").alias("component_id")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("least_id"))
+    ids = named.join(least, ["component", "deal"], "left").select("digest", component.alias("component_id"))
     out = sets.join(ids, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
