@@ -65,3 +65,20 @@ def test_near_copies_and_large_and_small_components(spark):
         got, want = answers(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), brute(rows)
         assert got.keys() == want.keys()
         assert np.mean([len({j for _, j in got[q]} & {j for _, j in found}) / 20 for q, found in want.items()]) >= 0.99
+
+
+def test_a_round_sends_packed_rows_and_copies_apart_are_found_from_their_own_node(spark, monkeypatch):
+    x = np.random.default_rng(7).normal(size=(1500, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "node long, embedding array<float>")
+    singles, shards = neighbours._singles(df), 5
+    state = neighbours._merged(neighbours._dealt(singles, 0, shards), neighbours._block_lists(singles, 3, 1, 4, shards), 4).cache()
+    there = neighbours._sent(state, shards, neighbours.MEETING, 1).collect()
+    assert len(there) <= shards * shards
+    assert sum(len(r["places"]) // 8 for r in there) > 10 * len(x)
+    lists = {r["node"]: np.frombuffer(r["ids"], dtype=np.int64) for r in neighbours._lists(state).collect()}
+    sent = {(p, n) for r in there for p, n in zip(np.frombuffer(r["places"], np.int64).tolist(), np.frombuffer(r["nodes"], np.int64)[np.frombuffer(r["sender"], np.int32)].tolist(), strict=True)}
+    assert {(n, n) for n in lists} <= sent and all(p == n or p in lists[n] for p, n in sent)
+    pools = neighbours._start(df.limit(3).selectExpr("node as query").join(singles.withColumnRenamed("node", "query"), "query").join(neighbours._lists(state).withColumnRenamed("node", "query"), "query"), (np.arange(100, 120), x[100:120].astype(float)), 64)
+    for r in pools.collect():
+        for q, ids in zip(np.frombuffer(r["queries"], np.int64), np.frombuffer(r["ids"], np.int64).reshape(-1, 64), strict=True):
+            assert q in ids and set(lists[q]) <= set(ids)
