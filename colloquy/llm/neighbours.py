@@ -15,7 +15,7 @@ pools hold less than ``RECALL`` of those, their search starts anew from twice th
 pool.  All queries are then searched once with the pool that was enough.
 
 Nodes lie in shards by hash, a packed row for each; what nodes send goes in one row for each pair of
-shards, so no step handles single messages.  Edges with vectors are persisted (recomputed if
+shards, so no step handles single messages.  Edges with vectors are persisted on disk (recomputed if
 an executor is lost).  Vectors travel as 32-bit floats and are compared in double precision; the best
 of the pool, with all within ``ROUNDING`` of the last one asked for, are scored again by the defined
 order of sums.
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import packs
-from .common import discard, materialize, shuffle_partitions
+from .common import discard, materialize, shuffle_partitions, texts_in_small_batches
 
 NEAREST = 20
 LISTED = 24
@@ -570,6 +570,7 @@ def _recall(pools: DataFrame, true: dict[int, set[int]]) -> float:
 def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
+    texts_in_small_batches(spark)
     parts = shuffle_partitions(spark)
     rows = valid_rows(vectors, vec_id, embedding)
     classes = materialize(distinct_vectors(rows), "vectors")
@@ -577,7 +578,7 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
     count = singles.count()
     shards = _shards(count, parts)
     state = _graph(singles, count, parts, shards)
-    edges = materialize(search_edges(state, parts, shards), "edges").repartition(parts, "shard").sortWithinPartitions("shard").persist(StorageLevel.MEMORY_AND_DISK)
+    edges = materialize(search_edges(state, parts, shards), "edges").repartition(parts, "shard").sortWithinPartitions("shard").persist(StorageLevel.DISK_ONLY)
     asking = rows.where(F.col("vec_id") % every == 0).distinct().join(classes.select("node", F.col("embedding")), "embedding").select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
     asking = materialize(asking, "asking")
     queries = asking.select("query").distinct().join(singles.withColumnRenamed("node", "query"), "query")

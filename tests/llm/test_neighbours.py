@@ -82,3 +82,13 @@ def test_a_round_sends_packed_rows_and_copies_apart_are_found_from_their_own_nod
     for r in pools.collect():
         for q, ids in zip(np.frombuffer(r["queries"], np.int64), np.frombuffer(r["ids"], np.int64).reshape(-1, 64), strict=True):
             assert q in ids and set(lists[q]) <= set(ids)
+
+
+def test_arrow_batches_are_small(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "67108864b")
+    neighbours.nearest(spark.createDataFrame([(20, [1.0, 2.0]), (21, [2.0, 1.0])], "vec_id long, embedding array<float>"))
+    small = spark.conf.get(key)
+    spark.conf.set(key, before)
+    assert int(small) <= 4 << 20
