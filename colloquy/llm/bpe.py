@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import texts_in_small_batches
 
 #: Pieces, and pairs of the scalar encoder, that a worker remembers at most; when full, it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 #: Pieces of more bytes go through the scalar encoder and are not remembered.
 LONGEST_REMEMBERED = 64
 #: Text that is split before its new pieces are encoded together.
@@ -152,12 +153,48 @@ class PrefixEncoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """A slot of a table of 2**bits for each key."""
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Lookup:
+    """A map of int64 keys, none negative, to int64 values on arrays: open addressing, at most half full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.values = np.full(1 << self.bits, -1, dtype=np.int64)
+        slot = _slots(keys, self.bits)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]  # of several keys for a slot one stays
+            kept = self.keys[slot] == keys
+            self.values[slot[kept]] = values[kept]
+            keys, values, slot = keys[~kept], values[~kept], (slot[~kept] + 1) & ((1 << self.bits) - 1)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 where there is none."""
+        slot = _slots(wanted, self.bits)
+        there = self.keys[slot]
+        out = np.where(there == wanted, self.values[slot], -1)
+        left = np.flatnonzero((there != wanted) & (there >= 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot]
+            out[left] = np.where(there == wanted[left], self.values[slot], -1)
+            more = (there != wanted[left]) & (there >= 0)
+            left, slot = left[more], slot[more]
+        return out
+
+
 class Tables:
     """A vocabulary as arrays, made once and sent to the workers; its size is that of one vocabulary file.
 
-    ``left`` and ``right`` are the two tokens whose merge makes a token (-1 for single bytes), ``pairs``
-    and ``made`` those merges in order of their key.  The tokens are a trie: ``steps`` holds state * 256 +
-    byte in order, ``to`` the next state, ``token`` the token that ends in a state, if any.
+    ``left`` and ``right`` are the two tokens whose merge makes a token (-1 for single bytes), ``made``
+    finds the token that merging a pair makes.  The tokens are a trie: ``steps`` finds the next state by
+    state * 256 + byte, ``token`` is the token that ends in a state, if any.
     """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
@@ -179,21 +216,11 @@ class Tables:
             for byte in token:
                 state = trie.setdefault(state * 256 + byte, len(trie) + 1)
             ends[state] = rank
-        self.steps, order = np.unique(np.fromiter(trie, dtype=np.int64, count=len(trie)), return_index=True)
-        self.to = np.fromiter(trie.values(), dtype=np.int64, count=len(trie))[order]
+        self.steps = Lookup(np.fromiter(trie, dtype=np.int64, count=len(trie)), np.fromiter(trie.values(), dtype=np.int64, count=len(trie)))
         self.token = np.full(len(trie) + 1, -1, dtype=np.int64)
         self.token[list(ends)] = list(ends.values())
         split = np.flatnonzero(self.left >= 0)
-        keys = self.left[split] * self.width + self.right[split]
-        order = np.argsort(keys)
-        self.pairs, self.made = keys[order], split[order]
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where ``wanted`` stand in sorted ``keys``, and whether they do."""
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
+        self.made = Lookup(self.left[split] * self.width + self.right[split], split)
 
 
 class BatchEncoder:
@@ -213,8 +240,8 @@ class BatchEncoder:
         good = np.ones(len(a), dtype=bool)
         limit, live = np.full(len(a), np.iinfo(np.int64).max), np.arange(len(a))  # a merge across counts below this rank
         while len(live):
-            at, known = _find(t.pairs, a * t.width + b)
-            bad = known & (t.made[at] < limit) if len(t.made) else known
+            made = t.made.find(a * t.width + b)
+            bad = (made >= 0) & (made < limit)
             good[live[bad]] = False
             whole_a, whole_b = t.left[a] < 0, t.left[b] < 0
             go = ~bad & ~(whole_a & whole_b)
@@ -226,7 +253,7 @@ class BatchEncoder:
 
     def _pairs_survive(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.t.width + b
-        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_SLOTS_BITS)).astype(np.int64)
+        slot = _slots(key, PAIR_SLOTS_BITS)
         good, new = self._good[slot], np.flatnonzero(self._key[slot] != key)
         if len(new):
             _, first, back = np.unique(key[new], return_index=True, return_inverse=True)
@@ -241,122 +268,232 @@ class BatchEncoder:
                 self._key[slot[one[lost]]] = -1
         return good
 
-    def _matches(self, data: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first byte, size, token) of every token that stands anywhere inside a piece, longest last."""
+    def _matches(self, data: np.ndarray, room: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For sizes 1, 2, ... the (first byte, token) of every token of that size that stands inside a piece."""
         t, found = self.t, []
-        at, state, depth = np.arange(len(data)), np.zeros(len(data), dtype=np.int64), 0
+        at, state = np.arange(len(data)), np.zeros(len(data), dtype=np.int64)
         while len(at):
-            go, known = _find(t.steps, state * 256 + data[at + depth])
-            at, state = at[known], t.to[go[known]]
-            depth += 1
+            state = t.steps.find(state * 256 + data[at + len(found)])
+            known = state >= 0
+            at, state = at[known], state[known]
             token = t.token[state]
             full = token >= 0
-            found.append((at[full], np.full(int(full.sum()), depth), token[full]))
-            more = room[at] > depth
+            found.append((at[full], token[full]))
+            more = room[at] > len(found)
             at, state = at[more], state[more]
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
+        return found
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece; no piece is empty."""
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and the number of ids of each; no piece is empty."""
         lens = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        if not len(lens):
+            return lens, lens
         stops = np.cumsum(lens)
         data = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int64)
         place = np.arange(len(data)) - np.repeat(stops - lens, lens)
-        first, size, token = self._matches(data, np.repeat(lens, lens) - place)
-        end = first + size - 1
-        last = np.full(len(data), -1, dtype=np.int64)
-        order = np.lexsort((-size, end, place[end]))  # step by step, at each byte the longest token first
+        found = self._matches(data, np.repeat(lens, lens) - place)
+        first, token = (np.concatenate(x) for x in zip(*found[::-1], strict=True))  # the longest first
+        tried, turn, ends = np.zeros(len(data), dtype=np.int64), [], []
+        for size in range(len(found), 0, -1):
+            end = found[size - 1][0] + size - 1  # each byte once
+            ends.append(end)
+            turn.append(tried[end])
+            tried[end] += 1
+        end, turn = np.concatenate(ends), np.concatenate(turn)
+        # step by step, at each byte the longest token first
+        turns = int(tried.max()) + 1
+        step = place[end] * turns + turn
+        order = np.argsort(step.astype(np.uint16) if int(lens.max()) * turns < 1 << 16 else step, kind="stable")
         first, end, token = first[order], end[order], token[order]
-        turn = np.arange(len(end)) - np.flatnonzero(np.r_[True, end[1:] != end[:-1]])[np.cumsum(np.r_[False, end[1:] != end[:-1]])] if len(end) else end
-        bounds = np.searchsorted(place[end], np.arange(int(lens.max(initial=0)) + 1))
+        bounds = np.flatnonzero(np.diff(step[order], prepend=-1, append=-1)).tolist()
+        last = np.full(len(data), -1, dtype=np.int64)
         for a, b in zip(bounds, bounds[1:], strict=False):
-            f, e, t, n = first[a:b], end[a:b], token[a:b], turn[a:b]
-            for k in range(int(n.max(initial=-1)) + 1):
-                try_ = np.flatnonzero((n == k) & (last[e] < 0))
-                good = place[f[try_]] == 0
-                rest = try_[~good]
-                before = last[f[rest] - 1]
-                good[~good] = (before >= 0) & self._pairs_survive(np.maximum(before, 0), t[rest])
-                last[e[try_[good]]] = t[try_[good]]
+            e = end[a:b]
+            open_ = last[e] < 0
+            e, f, t = e[open_], first[a:b][open_], token[a:b][open_]
+            inner = place[f] > 0
+            good = ~inner
+            before = last[f[inner] - 1]
+            good[inner] = (before >= 0) & self._pairs_survive(np.maximum(before, 0), t[inner])
+            last[e[good]] = t[good]
         if (last < 0).any():
             raise ValueError(f"no token ends at byte {int(place[np.argmax(last < 0)]) + 1} of a piece")
         at, own, back = stops - 1, np.arange(len(pieces)), []
-        begin = stops - lens
+        begin, counts = stops - lens, np.zeros(len(pieces), dtype=np.int64)
         while len(at):
             now = last[at]
             back.append((own, now))
+            counts[own] += 1
             at = at - self.t.size[now]
             more = at >= begin[own]
             at, own = at[more], own[more]
-        if not back:
-            return []
-        owner, ids = (np.concatenate(x[::-1]) for x in zip(*back, strict=True))
-        flat = ids[np.argsort(owner, kind="stable")].tolist()
-        ends = np.cumsum(np.bincount(owner, minlength=len(pieces))).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        behind, flat = np.cumsum(counts), np.empty(int(counts.sum()), dtype=np.int64)
+        for k, (own, now) in enumerate(back, 1):
+            flat[behind[own] - k] = now
+        return flat, counts
+
+
+def _strings(values: list[bytes | None]) -> pa.Array:
+    return pa.array(values, pa.large_binary())
+
+
+def _joined(strings: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> Iterator[memoryview]:
+    """The joined strings of ``ids[a:b]`` for neighbours a, b in ``bounds``."""
+    taken = strings.take(pa.array(ids))
+    data = memoryview(taken.buffers()[2] or b"")
+    at = np.frombuffer(taken.buffers()[1], dtype=np.int64)[bounds].tolist() if len(ids) else [0] * len(bounds)
+    return (data[a:b] for a, b in zip(at, at[1:], strict=False))
+
+
+#: One part of a pattern that Python's re reads as the regex package does, once its classes are spelled out.
+SIMPLE = r"\\p\{[LN]\}|\\[sS]|\[\^?(?:\\p\{[LN]\}|\\s)+\]|\(\?[!:]|[A-Za-z0-9' |?+*)]"
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of the pattern, as the regex package finds them.
+
+    A pattern of simple parts is given to Python's re, which is faster, with the classes spelled out as
+    the regex package has them; as re is slow at classes beyond the first 65,536 code points, texts that
+    hold any such go to the regex package.
+    """
+    import regex
+
+    full = regex.compile(pattern).findall
+    if not re.fullmatch(f"(?:{SIMPLE})*", pattern):
+        return full
+    low = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    spelled = {}
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        spans = regex.finditer(f"{kind}+", low[:0xD800]), regex.finditer(f"{kind}+", low[0xD800:])
+        spelled[kind] = "".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for span in spans for m in span)
+
+    def part(m: re.Match) -> str:
+        if m[0] == r"\S":
+            return f"[^{spelled[chr(92) + 's']}]"
+        if m[0] in spelled:
+            return f"[{spelled[m[0]]}]"
+        return re.sub(r"\\p\{[LN]\}|\\s", lambda k: spelled[k[0]], m[0])
+
+    fast, high = re.compile(re.sub(SIMPLE, part, pattern)).findall, re.compile("[\U00010000-\U0010ffff]").search
+    return lambda text: full(text) if high(text) else fast(text)
+
+
+class Numbers(dict):
+    """Numbers pieces as they are first seen; ``new`` holds those of the present chunk."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+        self.next = 0
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = self.next
+        self.next += 1
+        self.new.append(piece)
+        return number
 
 
 class TextEncoder:
-    """Encodes whole texts: splits by the pattern, encodes new pieces together and remembers short ones."""
+    """Encodes whole texts: splits by the pattern, encodes new pieces together and remembers short ones.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, tables: Tables | None = None) -> None:
-        import regex
+    ``_known`` numbers the pieces; the ids of piece n are the ``_count[n]`` from ``_ids[_start[n]]``.
+    """
 
+    def __init__(self, ranks: dict[bytes, int], pattern: str, tables: Tables | None = None) -> None:
         self.ranks = ranks
         self._batch = BatchEncoder(tables or Tables(ranks))
-        self._split = regex.compile(pattern).findall
-        self._known: dict[str, list[int]] = {}
-        self._bytes_of: dict[int, bytes] = {}
+        self._split = splitter(pattern)
+        self._bytes_of = {r: t for t, r in ranks.items()}
+        self._ranks_up_to = range(max(self._bytes_of, default=-1) + 1)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known = Numbers()
+        self._start = self._count = np.zeros(0, dtype=np.int64)
+        self._ids = np.zeros(0, dtype=np.int32)
 
     @cached_property
     def pieces(self) -> PrefixEncoder:
         return PrefixEncoder(self.ranks)
 
-    def encode_many(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text, in order."""
+    @cached_property
+    def _tokens(self) -> pa.Array:
+        return _strings([self._bytes_of.get(rank) for rank in self._ranks_up_to])
+
+    @cached_property
+    def _decimals(self) -> pa.Array:
+        return _strings([b" %d" % rank for rank in self._ranks_up_to])
+
+    def encode_chunks(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of a run of texts, and the bounds of each text's among them, run by run."""
         held, size = [], 0
         for text in texts:
             held.append(text)
             size += len(text)
             if size >= CHUNK_CHARS:
-                yield from self._encode_chunk(held)
+                yield self._encode_chunk(held)
                 held, size = [], 0
-        yield from self._encode_chunk(held)
-
-    def _encode_chunk(self, texts: list[str]) -> Iterator[list[int]]:
-        split = [self._split(t) for t in texts]
-        known = self._known
-        new = list({p for pieces in split for p in pieces if p not in known})
-        short, long = [], []
-        for p in new:
-            data = p.encode()
-            if (whole := self.ranks.get(data)) is not None:
-                known[p] = [whole]
-            elif len(data) <= LONGEST_REMEMBERED:
-                short.append((p, data))
-            else:
-                long.append((p, data))
-        known.update(zip((p for p, _ in short), self._batch.encode([d for _, d in short]), strict=True))
-        known.update((p, self.pieces.encode(d)) for p, d in long)
-        for pieces in split:
-            ids: list[int] = []
-            for p in pieces:
-                ids += known[p]
-            yield ids
-        for p, _ in long:
-            del known[p]
-        if len(known) > REMEMBERED:
-            known.clear()
+        if held:
+            yield self._encode_chunk(held)
+
+    def encode_many(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text, in order."""
+        for ids, bounds in self.encode_chunks(texts):
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                yield ids[a:b].tolist()
+
+    def _encode_new(self) -> int:
+        """Store the ids of the pieces that got a number; where those that are not remembered begin."""
+        known, new, ranks = self._known, self._known.new, self.ranks
+        start, count = np.zeros(len(new), dtype=np.int64), np.ones(len(new), dtype=np.int64)
+        datas = [p.encode() for p in new]
+        whole = np.fromiter((ranks.get(d, -1) for d in datas), dtype=np.int64, count=len(new))
+        size = np.fromiter(map(len, datas), dtype=np.int64, count=len(new))
+        single = np.flatnonzero(whole >= 0)
+        short = np.flatnonzero((whole < 0) & (size <= LONGEST_REMEMBERED))
+        long = np.flatnonzero((whole < 0) & (size > LONGEST_REMEMBERED))
+        flat, count[short] = self._batch.encode([datas[i] for i in short])
+        encoded = [self.pieces.encode(datas[i]) for i in long]
+        count[long] = [len(x) for x in encoded]
+        order = np.concatenate([single, short, long])
+        start[order] = len(self._ids) + np.cumsum(count[order]) - count[order]
+        kept = len(self._ids) + len(single) + len(flat)
+        self._ids = np.concatenate([self._ids, whole[single], flat, *encoded], dtype=np.int32, casting="unsafe")
+        self._start, self._count = np.concatenate([self._start, start]), np.concatenate([self._count, count])
+        for i in long:
+            del known[new[i]]
+        known.new = []
+        return kept
+
+    def _encode_chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        numbers = [np.array(list(map(self._known.__getitem__, self._split(text))), dtype=np.int64) for text in texts]
+        try:
+            kept = self._encode_new()
+        except ValueError:
+            self._forget()  # the new pieces have numbers but no ids
+            raise
+        ends = np.cumsum([len(n) for n in numbers])
+        number = np.concatenate(numbers)
+        count = self._count[number]
+        behind = np.cumsum(count)
+        total = int(behind[-1]) if len(behind) else 0
+        ids = self._ids[np.arange(total) + np.repeat(self._start[number] - behind + count, count)]
+        bounds = np.r_[0, np.r_[0, behind][ends]]
+        self._ids = self._ids[:kept]
+        if self._known.next > REMEMBERED:
+            self._forget()
+        return ids, bounds
 
     def encode(self, text: str) -> list[int]:
-        [ids] = self._encode_chunk([text])
-        return ids
+        return self._encode_chunk([text])[0].tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        if not self._bytes_of:
-            self._bytes_of = {r: t for t, r in self.ranks.items()}
         return b"".join(map(self._bytes_of.__getitem__, ids))
 
+    def digests(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[list[str], list[str]]:
+        """The SHA-256 of each text's decimal ids, joined by one space, and of its decoded bytes."""
+        decimals, decoded = _joined(self._decimals, ids, bounds), _joined(self._tokens, ids, bounds)
+        return [hashlib.sha256(x[1:]).hexdigest() for x in decimals], [hashlib.sha256(x).hexdigest() for x in decoded]
+
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False, ids: bool = True) -> DataFrame:
     """``keep`` columns with ``ids`` (array of int) and, with ``digests``, the count of the ids and the
@@ -367,18 +504,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str
     def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = TextEncoder(*shared.value)
         for b in source:
-            for at in range(0, b.num_rows, 256):
-                coded, counts, of_ids, of_bytes = [], [], [], []
-                for found in coder.encode_many([t or "" for t in b["__text"].slice(at, 256).to_pylist()]):
-                    if ids:
-                        coded.append(np.array(found, dtype=np.int32))
+            for start in range(0, b.num_rows, 256):
+                at = start
+                for found, bounds in coder.encode_chunks([t or "" for t in b["__text"].slice(start, 256).to_pylist()]):
+                    rows = len(bounds) - 1
+                    made = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found))] if ids else []
                     if digests:
-                        counts.append(len(found))
-                        of_ids.append(hashlib.sha256(" ".join(map(str, found)).encode()).hexdigest())
-                        of_bytes.append(hashlib.sha256(coder.decode(found)).hexdigest())
-                made = [pa.array(coded, pa.list_(pa.int32()))] if ids else []
-                made += [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())] if digests else []
-                yield pa.RecordBatch.from_arrays([*(b[c].slice(at, 256) for c in keep), *made], names)
+                        made += [pa.array(np.diff(bounds)), *(pa.array(x, pa.string()) for x in coder.digests(found, bounds))]
+                    yield pa.RecordBatch.from_arrays([*(b[c].slice(at, rows) for c in keep), *made], names)
+                    at += rows
 
     rows = docs.select(*keep, docs[text].alias("__text"))
     made = [*(["ids array<int>"] if ids else []), *(["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else [])]
